@@ -1,0 +1 @@
+"""No streaming operators: the workload this package covers is batch only (see README, "Scope")."""
