@@ -214,7 +214,7 @@ def v3_vector(spark, folder):
 # -- nearest neighbours ------------------------------------------------------------------------------------------------
 
 _SCALED_LONG = """
-sc AS (SELECT long.id, long.label, o.f AS fold, CASE WHEN folds.fold = o.f THEN 'validation' ELSE 'train' END AS role, pos,
+sc AS (SELECT long.id, long.label, o.f AS fold, CASE WHEN folds.fold = o.f THEN 'validation' ELSE 'train' END AS role, long.pos,
     (x - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS x
   FROM long JOIN folds USING (id), (SELECT unnest(range(5)) AS f) o, stat WHERE stat.fold = o.f AND stat.pos = long.pos),
 vec AS (SELECT id, label, fold, role, list(x ORDER BY pos) AS v FROM sc GROUP BY ALL)"""

@@ -32,16 +32,22 @@ def tokens(text: Column) -> Column:
 
 
 def _grams(words: Column, n: int) -> Column:
-    last = F.size(words) - F.lit(n)
-    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
-    return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
+    """Every run of n neighbouring words; empty when there are fewer."""
+    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - F.lit(n - 1), F.lit(0)))
+    if n == 1:
+        return starts
+    return F.transform(starts, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)]))
 
 
 def hashed_bits(words: Column, n_bits: int = 1024, max_n: int = 3) -> Column:
     """Set bits of a hashed fingerprint: every run of 1..max_n words turns on one of ``n_bits`` positions."""
-    every = F.concat(*[_grams(words, n) for n in range(1, max_n + 1)])
-    bits = F.transform(F.array_distinct(every), lambda g: (hash_int(g) % n_bits).cast("int"))
-    return F.array_sort(F.array_distinct(bits))
+
+    def bits(w: Column) -> Column:
+        every = F.concat(*[_grams(w, n) for n in range(1, max_n + 1)])
+        return F.array_sort(F.array_distinct(F.transform(every, lambda g: (hash_int(g) % n_bits).cast("int"))))
+
+    # The one-element array binds the words to a lambda variable: they are split once per row, not once per gram.
+    return F.get(F.transform(F.array(words), bits), F.lit(0))
 
 
 def key_bits(text: Column, patterns: Sequence[str] = STRUCTURE_PATTERNS) -> Column:

@@ -248,7 +248,8 @@ def knn_join(
         )
 
     block = [*groups, "cell", "q_block", "t_block"]
-    found = q.groupBy(*block).cogroup(t.groupBy(*block)).applyInArrow(nearest, out_schema)
+    t = t.toDF(*[f"t_{c}" if c in block else c for c in t.columns])  # both sides may come from one table
+    found = q.groupBy(*block).cogroup(t.groupBy(*[f"t_{c}" for c in block])).applyInArrow(nearest, out_schema)
     return top_rows(found, [*groups, "id"], ["distance", "neighbour"], k, rank="rank")
 
 
