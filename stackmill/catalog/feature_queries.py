@@ -10,6 +10,7 @@ from stackmill.catalog.registry import query
 from stackmill.functions import text as X
 from stackmill.operators import quality as Q
 from stackmill.operators import selection as S
+from stackmill.session import spread
 from stackmill.sources.readers import table
 
 _BITS = f"""
@@ -20,7 +21,7 @@ bits AS (SELECT DISTINCT doc_id, ({sql_hash('gram')} % 1024)::INT AS bit FROM (S
 
 
 def _words(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     return docs.withColumn("words", X.tokens(F.col("text")))
 
 
@@ -37,7 +38,8 @@ _KEYS = ", ".join(f"regexp_matches(text, '{p}')::INT AS MACCS_{i}" for i, p in e
 @query("pattern_keys", f"SELECT doc_id, {_KEYS} FROM documents")
 def pattern_keys(spark, folder):
     """One 0/1 column per structural pattern."""
-    rows = table(spark, folder, "documents").select("doc_id", X.key_bits(F.col("text")).alias("keys"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    rows = docs.select("doc_id", X.key_bits(F.col("text")).alias("keys"))
     return rows.select(
         "doc_id", *[F.get("keys", F.lit(i)).alias(f"MACCS_{i}") for i in range(len(X.STRUCTURE_PATTERNS))]
     )
@@ -57,7 +59,8 @@ SELECT doc_id, n_words > 0 AS valid, round({' + '.join(X.DESCRIPTOR_NAMES)}, 6)
 FROM descriptors LEFT JOIN b USING (doc_id) JOIN (SELECT doc_id, text FROM documents) d USING (doc_id)""")
 def generate_descriptors(spark, folder):
     """The descriptor job: validity, descriptors, fingerprint and keys of every document in one projection."""
-    rows = X.describe(table(spark, folder, "documents"), "text", ["doc_id"])
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    rows = X.describe(docs, "text", ["doc_id"])
     add = lambda c, zero: F.aggregate(c, zero, lambda acc, v: acc + v)
     big = F.lit(0).cast("bigint")
     return rows.select(

@@ -10,6 +10,7 @@ from stackmill.functions.arrays import doubles
 from stackmill.functions.hashing import hash_int
 from stackmill.functions.scores import threshold_class
 from stackmill.operators import ledger as L
+from stackmill.session import spread
 from stackmill.sources.readers import table
 
 MODELS = ("knn", "lr", "svm", "rf", "xgboost")
@@ -147,7 +148,7 @@ folds AS (
 
 def described(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id with the lexical descriptors of every document as ``features``."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     words = docs.withColumn("words", text.tokens(F.col("text")))
     named = text.lexical_descriptors(F.col("text"), F.col("words"))
     return words.select("doc_id", F.array(*[named[n] for n in text.DESCRIPTOR_NAMES]).alias("features"))

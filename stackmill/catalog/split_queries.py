@@ -28,6 +28,7 @@ from stackmill.operators import neighbors as N
 from stackmill.operators import scaling as C
 from stackmill.operators import splits as P
 from stackmill.operators import stacking as K
+from stackmill.session import cut
 from stackmill.sources.readers import table
 
 # -- splits ------------------------------------------------------------------------------------------------------------
@@ -104,21 +105,15 @@ stat AS (SELECT o.f AS fold, l.pos, min(x) AS lo, max(x) AS hi, avg(x) AS mu, st
 
 
 def folded_vectors(spark, folder, seeds=(1,)):
-    """Vectors with their fold: only ids and labels go through the ranking, the vectors are joined once."""
+    """Vectors with their fold: only ids and labels go through the ranking; the stored split is joined once."""
     rows = vectors(spark, folder)
-    folds = P.stratified_folds(rows.select("id", "label"), "id", "label", seeds=seeds)
+    folds = cut(P.stratified_folds(rows.select("id", "label"), "id", "label", seeds=seeds))
     return rows.join(folds.drop("label"), "id")
 
 
-def scaled_splits(spark, folder, seeds=(1,), kind="minmax"):
-    """id, label, seed, fold, role, features: every split's rows scaled by its training side."""
-    own = folded_vectors(spark, folder, seeds)
-    stats = C.train_stats(own)
-    return C.scale(P.fold_members(own, 5), stats, ["seed", "fold"], kind)
-
-
 def _scaled_summary(spark, folder, kind):
-    rows = scaled_splits(spark, folder, kind=kind).filter("role = 'validation'")
+    own = folded_vectors(spark, folder)
+    rows = C.scale(own, C.train_stats(own), ["seed", "fold"], kind)
     return rows.select("id", "fold", F.posexplode("features").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
@@ -231,11 +226,12 @@ dist AS (SELECT q.{group}, q.id, q.label AS y_true, t.id AS neighbour, t.label,
 nn AS (SELECT *, row_number() OVER (PARTITION BY {group}, id ORDER BY distance, neighbour) AS rank FROM dist QUALIFY rank <= {k})"""
 
 
-def _fold_neighbours(spark, folder, k, metric="euclidean", **options):
-    rows = scaled_splits(spark, folder)
-    return N.knn_join(
-        rows.filter("role = 'validation'"), rows.filter("role = 'train'"), k, groups=["fold"], metric=metric, **options
-    )
+def _fold_neighbours(spark, folder, k, metric="euclidean"):
+    own = folded_vectors(spark, folder).drop("seed")
+    stats = cut(C.train_stats(own, keys=[]))  # one row per split
+    rows = P.fold_members(own, 5)
+    queries, train = rows.filter("role = 'validation'"), rows.filter("role = 'train'")
+    return N.knn_join(queries, train, k, groups=["fold"], metric=metric, scaler=stats)
 
 
 def _sql_knn(k: int, metric: str = "euclidean") -> str:
@@ -243,7 +239,7 @@ def _sql_knn(k: int, metric: str = "euclidean") -> str:
 
 
 @query("knn_fold_mcc", f"""{_sql_knn(7)}, vote AS (SELECT fold, id, any_value(y_true) AS y_true, avg(label) AS prob, (avg(label) > 0.5e0)::INT AS cls FROM nn GROUP BY 1, 2),
-{sql_metrics('vote', 'fold')} SELECT fold, tn, fp, fn, tp, {sql_rounded(METRIC_COLUMNS)} FROM m""")
+{sql_metrics('vote', 'fold')} SELECT fold::INT AS fold, tn, fp, fn, tp, {sql_rounded(METRIC_COLUMNS)} FROM m""")
 def knn_fold_mcc(spark, folder):
     """Metrics of the 7-nearest-neighbour base classifier on every fold."""
     votes = N.vote(_fold_neighbours(spark, folder, 7), ["fold"])
@@ -251,27 +247,27 @@ def knn_fold_mcc(spark, folder):
     return rounded(M.run_metrics(votes.join(truth, "id"), ["fold"]), METRIC_COLUMNS)
 
 
-@query("knn_vote", f"{_sql_knn(7)} SELECT fold, id, round(avg(label), 6) AS prob FROM nn GROUP BY 1, 2")
+@query("knn_vote", f"{_sql_knn(7)} SELECT fold::INT AS fold, id, round(avg(label), 6) AS prob FROM nn GROUP BY 1, 2")
 def knn_vote(spark, folder):
     """Share of positives among the 7 nearest training rows of every validation row."""
     return rounded(N.vote(_fold_neighbours(spark, folder, 7), ["fold"]), ["prob"])
 
 
-@query("knn_weighted", f"""{_sql_knn(7)} SELECT fold, id, round(CASE WHEN count(*) FILTER (distance = 0) > 0
+@query("knn_weighted", f"""{_sql_knn(7)} SELECT fold::INT AS fold, id, round(CASE WHEN count(*) FILTER (distance = 0) > 0
   THEN avg(label) FILTER (distance = 0) ELSE sum(label / distance) FILTER (distance > 0) / sum(1 / distance) FILTER (distance > 0) END, 6) AS prob FROM nn GROUP BY 1, 2""")
 def knn_weighted(spark, folder):
     """Votes weighted by 1/distance."""
     return rounded(N.vote(_fold_neighbours(spark, folder, 7), ["fold"], weights="distance"), ["prob"])
 
 
-@query("knn_manhattan", f"{_sql_knn(7, 'manhattan')} SELECT fold, id, round(avg(label), 6) AS prob FROM nn GROUP BY 1, 2")
+@query("knn_manhattan", f"{_sql_knn(7, 'manhattan')} SELECT fold::INT AS fold, id, round(avg(label), 6) AS prob FROM nn GROUP BY 1, 2")
 def knn_manhattan(spark, folder):
     """Votes of the 7 nearest rows by the Manhattan metric."""
     return rounded(N.vote(_fold_neighbours(spark, folder, 7, "manhattan"), ["fold"]), ["prob"])
 
 
 @query("knn_k_grid", f"""{_sql_knn(11)}, ks AS (SELECT unnest([3, 5, 7, 11]) AS k)
-SELECT fold, id, k, round(avg(label), 6) AS prob FROM nn JOIN ks ON rank <= k GROUP BY ALL""")
+SELECT fold::INT AS fold, id, k, round(avg(label), 6) AS prob FROM nn JOIN ks ON rank <= k GROUP BY ALL""")
 def knn_k_grid(spark, folder):
     """Votes for k = 3, 5, 7 and 11 from one join."""
     return rounded(N.vote_grid(_fold_neighbours(spark, folder, 11), (3, 5, 7, 11), ["fold"]), ["prob"])

@@ -9,7 +9,6 @@ fixed size; each block returns at most k rows per query, and a last top-k merges
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stackmill.operators.ranks import top_rows
+from stackmill.operators.scaling import scale
 
 BLOCK_ROWS = 20_000
 MAX_PIVOTS = 512
@@ -174,12 +174,15 @@ def _pivot_cells(
     return routed, placed.drop("gap")
 
 
-def _blocks(queries: DataFrame, train: DataFrame, groups: Sequence[str], block_rows: int) -> tuple[DataFrame, DataFrame]:
+def _counted(df: DataFrame, keys: Sequence[str], block_rows: int, out: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(out))
+
+
+def _blocks(
+    queries: DataFrame, train: DataFrame, keys: Sequence[str], sizes: DataFrame
+) -> tuple[DataFrame, DataFrame]:
     """Give both sides a block number; each side is copied to the blocks of the other side of its cell."""
-    keys = [*groups, "cell"]
-    n_train = train.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("t_blocks"))
-    n_query = queries.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("q_blocks"))
-    sizes = F.broadcast(n_train.join(n_query, keys))  # at most groups x pivots rows of a few integers
+    sizes = F.broadcast(sizes)  # at most groups x pivots rows of a few integers
 
     def own(blocks: str):
         return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
@@ -200,12 +203,14 @@ def knn_join(
     metric: str = "euclidean",
     n_pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    scaler: DataFrame | None = None,
 ) -> DataFrame:
     """The k nearest training rows of every query within its group, nearest first, ties to the smaller id.
 
     ``queries``: groups, id, features. ``train``: groups, id, features, label. Returns groups, id, neighbour,
     distance, label, rank. ``groups`` are splits (a bounded number); ``n_pivots`` None picks a number from the largest
-    group's row count, and 1 means no cells.
+    group's row count, and 1 means no cells. ``scaler`` has the fitted min-max statistics of every group and is applied
+    to both sides after their rows were counted.
     """
     groups = list(groups)
     queries = queries.select(*groups, F.col("id").cast("bigint").alias("id"), F.col("features").cast("array<double>").alias("features"))
@@ -215,11 +220,24 @@ def knn_join(
         F.col("features").cast("array<double>").alias("features"),
         F.col("label").cast("double").alias("label"),
     )
-    if n_pivots is None:
-        largest = train.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
-        n_pivots = 1 if largest <= block_rows else min(MAX_PIVOTS, ceil(largest / block_rows) * 4)
-    q, t = _one_cell_each(queries, train) if n_pivots == 1 else _pivot_cells(queries, train, k, groups, metric, n_pivots)
-    q, t = _blocks(q, t, groups, block_rows)
+    keys = [*groups, "cell"]
+    sizes = None
+    if n_pivots is None or n_pivots == 1:
+        q0, t0 = _one_cell_each(queries, train)
+        counted = _counted(t0, keys, block_rows, "t_blocks").join(_counted(q0, keys, block_rows, "q_blocks"), keys)
+        rows = counted.collect()  # one row per group
+        largest = max((r["t_blocks"] for r in rows), default=0)
+        if n_pivots is None:
+            n_pivots = 1 if largest <= 1 else min(MAX_PIVOTS, largest * 4)
+        sizes = queries.sparkSession.createDataFrame(rows, counted.schema)
+    if scaler is not None:
+        queries, train = scale(queries, scaler, groups), scale(train, scaler, groups)
+    if n_pivots == 1:
+        q, t = _one_cell_each(queries, train)
+    else:
+        q, t = _pivot_cells(queries, train, k, groups, metric, n_pivots)
+        sizes = _counted(t, keys, block_rows, "t_blocks").join(_counted(q, keys, block_rows, "q_blocks"), keys)
+    q, t = _blocks(q, t, keys, sizes)
 
     out_schema = T.StructType(
         [

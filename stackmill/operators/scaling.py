@@ -81,7 +81,7 @@ def scale(
     """Apply fitted statistics. ``stats`` has one row per split (splits x features values), so it is broadcast."""
     names = ["low", "high"] if kind == "minmax" else ["mean", "std"]
     fitted = F.broadcast(stats.select(*keys, *[F.col(n).alias(f"__{n}") for n in names]))
-    joined = df.join(fitted, list(keys), "inner") if keys else df.join(fitted, F.lit(True), "inner")
+    joined = df.join(fitted, list(keys)) if keys else df.join(fitted, F.lit(True))
     apply = arrays.minmax if kind == "minmax" else arrays.standardize
     scaled = apply(F.col(features), *[F.col(f"__{n}") for n in names])
     return joined.withColumn(features, scaled).drop(*[f"__{n}" for n in names])
