@@ -6,7 +6,9 @@ from importlib import import_module
 
 from stackmill.catalog.registry import ENTRIES, Entry
 
-MODULES = ("metrics_queries", "split_queries", "clean_queries", "feature_queries", "ledger_queries")
+MODULES = (
+    "metrics_queries", "split_queries", "clean_queries", "feature_queries", "ledger_queries", "source_queries", "model_queries",
+)
 
 
 def load() -> dict[str, Entry]:

@@ -41,9 +41,9 @@ def scan_titled_csv(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path)
     title, header = (row[0] for row in lines.head(2))
     names = [n.strip().strip('"') for n in header.split(",")]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    schema = ", ".join(f"`{n}` string" for n in names)
     body = lines.filter((F.col("value") != title) & (F.col("value") != header) & (F.col("value") != ""))
-    return body.select(F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " ")).alias("r")).select("r.*")
+    return body.select(F.from_csv("value", schema).alias("r")).select("r.*")
 
 
 def scan_sdf(spark: SparkSession, path: str) -> DataFrame:
