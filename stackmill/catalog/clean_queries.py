@@ -128,7 +128,7 @@ def drop_ranked_features(spark, folder):
     order = S.top_features(S.feature_variance(rows), 64, digits=9)
     kept = sorted(r["pos"] for r in X.drop_ranked(order, 24).collect())  # one row per feature
     picked = rows.select("id", arrays.keep_positions(F.col("features"), kept).alias("features"))
-    return picked.select("id", F.posexplode("features").alias("place", "x")).withColumn("x", F.round("x", 6))
+    return picked.select("id", F.posexplode_outer("features").alias("place", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("clean_features", f"""WITH {VECTORS}, d AS (SELECT id, i, CASE WHEN (id + i) % 17 = 0 OR (id + i) % 19 = 0 OR (id + i) % 23 = 0 THEN 0 ELSE features[i] END AS x

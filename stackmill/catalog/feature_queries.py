@@ -10,7 +10,7 @@ from stackmill.catalog.registry import query
 from stackmill.functions import text as X
 from stackmill.operators import quality as Q
 from stackmill.operators import selection as S
-from stackmill.session import spread
+from stackmill.session import spread, stored
 from stackmill.sources.readers import table
 
 _BITS = f"""
@@ -29,7 +29,7 @@ def _words(spark, folder):
 def hashed_fingerprint(spark, folder):
     """Set bits of the hashed n-gram fingerprint of every document."""
     rows = _words(spark, folder).select("doc_id", X.hashed_bits(F.col("words"), 1024).alias("bits"))
-    return rows.select("doc_id", F.explode("bits").alias("bit"))
+    return rows.select("doc_id", F.explode_outer("bits").alias("bit")).filter(F.col("bit").isNotNull())
 
 
 _KEYS = ", ".join(f"regexp_matches(text, '{p}')::INT AS MACCS_{i}" for i, p in enumerate(X.STRUCTURE_PATTERNS))
@@ -48,9 +48,8 @@ def pattern_keys(spark, folder):
 @query("lexical_descriptors", f"WITH {DESCRIPTORS} SELECT doc_id, {', '.join(f'round({n}, 6) AS {n}' for n in X.DESCRIPTOR_NAMES)} FROM descriptors")
 def lexical_descriptors(spark, folder):
     """Counts and shares of every document."""
-    rows = _words(spark, folder)
-    named = X.lexical_descriptors(F.col("text"), F.col("words"))
-    return rows.select("doc_id", *[F.round(named[n], 6).alias(n) for n in X.DESCRIPTOR_NAMES])
+    rows = X.lexical_descriptors(_words(spark, folder), "text", "words")
+    return rows.select("doc_id", *[F.round(n, 6).alias(n) for n in X.DESCRIPTOR_NAMES])
 
 
 @query("generate_descriptors", f"""WITH {DESCRIPTORS}, {_BITS}, b AS (SELECT doc_id, count(*) AS n_bits, sum(bit)::BIGINT AS bit_sum FROM bits GROUP BY 1)
@@ -104,7 +103,7 @@ def combine_features(spark, folder):
         "p_partkey",
         F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.array_contains("bits", j).cast("double")).alias("b"),
     )
-    return numbers.join(bits, "p_partkey").select("p_partkey", F.posexplode(F.concat("a", "b")).alias("pos", "x"))
+    return numbers.join(bits, "p_partkey").select("p_partkey", F.posexplode_outer(F.concat("a", "b")).alias("pos", "x"))
 
 
 # -- profiles ----------------------------------------------------------------------------------------------------------
@@ -155,16 +154,21 @@ _CORR = f"""WITH {DESCRIPTORS}, r AS (SELECT unnest([{_PAIRS}]) AS s FROM descri
 pairs AS (SELECT s.a AS a, s.b AS b, s.r AS r FROM r WHERE NOT isnan(s.r))"""
 
 
+def _stored_descriptors(spark, folder):
+    """The descriptor table, written once: a correlation reads it several times."""
+    return stored(described(spark, folder), "descriptors")
+
+
 @query("high_corr_pairs", f"{_CORR} SELECT a, b, round(r, 6) AS r FROM pairs WHERE abs(r) > 0.95")
 def high_corr_pairs(spark, folder):
     """Descriptor pairs with an absolute correlation above 0.95."""
-    return rounded(Q.high_correlation(Q.feature_correlations(described(spark, folder))), ["r"])
+    return rounded(Q.high_correlation(Q.feature_correlations(_stored_descriptors(spark, folder))), ["r"])
 
 
 @query("pearson_filter", f"{_CORR} SELECT DISTINCT b AS pos FROM pairs WHERE abs(r) > 0.9")
 def pearson_filter(spark, folder):
     """Descriptors with an earlier partner above 0.9."""
-    return Q.redundant_features(Q.feature_correlations(described(spark, folder)))
+    return Q.redundant_features(Q.feature_correlations(_stored_descriptors(spark, folder)))
 
 
 @query("corr_filter", f"WITH {VECTORS}, {LONG}, c AS (SELECT pos::INT AS pos, corr(x, label) AS score FROM long GROUP BY pos) SELECT pos, round(score, 6) AS score FROM c WHERE score > 0.02")

@@ -35,7 +35,8 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
             for s in SEEDS
         ]
     )
-    orders = table(spark, folder, "orders").select(
+    columns = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    orders = spread(columns, "o_orderkey").select(
         F.col("o_orderkey").alias("id"),
         (F.col("o_orderstatus") == "F").cast("int").alias("y_true"),
         F.year("o_orderdate").alias("year"),
@@ -150,8 +151,8 @@ def described(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id with the lexical descriptors of every document as ``features``."""
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     words = docs.withColumn("words", text.tokens(F.col("text")))
-    named = text.lexical_descriptors(F.col("text"), F.col("words"))
-    return words.select("doc_id", F.array(*[named[n] for n in text.DESCRIPTOR_NAMES]).alias("features"))
+    named = text.lexical_descriptors(words, "text", "words")
+    return named.select("doc_id", F.array(*text.DESCRIPTOR_NAMES).alias("features"))
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:

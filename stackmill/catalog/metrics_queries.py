@@ -146,7 +146,7 @@ _STABLE = f"""WITH {PRED}, {sql_metrics('pred', 'model, seed, fold')}, s AS (
 FROM s""")
 def cv_stability(spark, folder):
     """Mean, spread, coefficient and warnings of the fold scores of every model."""
-    folds = M.run_metrics(predictions(spark, folder), ["model", "seed", "fold"])
+    folds = M.mcc_by_run(predictions(spark, folder), ["model", "seed", "fold"])
     out = Q.stability(folds, ["model"], F.col("mcc"))
     return rounded(out, ["mean", "std", "min", "max", "cv_coefficient"]).withColumn(
         "warnings", F.array_join("warnings", "; ")
@@ -245,7 +245,7 @@ _SCORES = f"""WITH {PRED}, {sql_metrics('pred', 'model, seed, fold')}, scores AS
 
 def _split_scores(spark, folder):
     """The wide score table: one row per split, one MCC column per model."""
-    folds = M.run_metrics(predictions(spark, folder), ["model", "seed", "fold"])
+    folds = M.mcc_by_run(predictions(spark, folder), ["model", "seed", "fold"])
     split = F.concat_ws("_skf_", F.col("seed").cast("string"), F.col("fold").cast("string"))
     return (
         folds.groupBy(split.alias("split")).pivot("model", list(MODELS)).agg(F.max("mcc"))

@@ -130,8 +130,8 @@ def pick_dataset(spark, folder):
 def write_pred(spark, folder):
     """Predictions written as CSV and read back."""
     path = scratch_path(spark, "pred")
-    mean = K.ensemble_mean(predictions(spark, folder).filter("role = 'test'"))
-    W.write_predictions(K.wide(mean, ["id"], F.col("model"), MODELS), path)
+    test = predictions(spark, folder).filter("role = 'test'")
+    W.write_predictions(K.wide(test, ["id"], F.col("model"), MODELS, how=F.avg), path)
     rows = R.scan_csv(spark, path, "id bigint, " + ", ".join(f"{m} double" for m in MODELS))
     return rounded(rows, MODELS, 9)
 

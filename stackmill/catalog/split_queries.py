@@ -28,7 +28,7 @@ from stackmill.operators import neighbors as N
 from stackmill.operators import scaling as C
 from stackmill.operators import splits as P
 from stackmill.operators import stacking as K
-from stackmill.session import cut
+from stackmill.session import cut, stored
 from stackmill.sources.readers import table
 
 # -- splits ------------------------------------------------------------------------------------------------------------
@@ -114,7 +114,7 @@ def folded_vectors(spark, folder, seeds=(1,)):
 def _scaled_summary(spark, folder, kind):
     own = folded_vectors(spark, folder)
     rows = C.scale(own, C.train_stats(own), ["seed", "fold"], kind)
-    return rows.select("id", "fold", F.posexplode("features").alias("pos", "x")).withColumn("x", F.round("x", 6))
+    return rows.select("id", "fold", F.posexplode_outer("features").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("minmax_apply", f"{_SPLIT}, {_FITTED} SELECT long.id, folds.fold, pos::INT AS pos, round((x - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 6) AS x FROM long JOIN folds USING (id) JOIN stat USING (fold, pos)")
@@ -135,7 +135,8 @@ imputed AS (SELECT id, year, {', '.join(f'coalesce({c}, m_{c}) AS {c}, ({c} IS N
 
 
 def _imputed(spark, folder):
-    return C.impute_with_flag(mechanistic(spark, folder), _IMPUTED_COLUMNS, fit_on=F.col("year") < 1997)
+    rows = stored(mechanistic(spark, folder), "mechanistic")  # one aggregation of the lines for all later passes
+    return C.impute_with_flag(rows, _IMPUTED_COLUMNS, fit_on=F.col("year") < 1997)
 
 
 @query("impute_flag", f"WITH {MECHANISTIC}, {_IMPUTED} SELECT id, {', '.join(f'round({c}, 6) AS {c}, {c}_imputed' for c in _IMPUTED_COLUMNS)} FROM imputed")
@@ -174,8 +175,8 @@ def cyp_interaction(spark, folder):
 
 
 def _probs(spark, folder):
-    pred = K.ensemble_mean(predictions(spark, folder))
-    return K.wide(pred, ["id"], F.col("model"), MODELS).select("id", F.array(*MODELS).alias("probs"))
+    mean = K.wide(predictions(spark, folder), ["id"], F.col("model"), MODELS, how=F.avg)
+    return mean.select("id", F.array(*MODELS).alias("probs"))
 
 
 _PROBS = f"probs AS (SELECT id, {', '.join(f'avg(prob) FILTER (model = {chr(39)}{m}{chr(39)}) AS p_{m}' for m in MODELS)} FROM pred GROUP BY id)"
@@ -189,7 +190,7 @@ _P = [f"p_{m}" for m in MODELS]
 
 
 def _exploded(df, vector):
-    return df.select("id", F.posexplode(vector).alias("pos", "x")).withColumn("x", F.round("x", 8))
+    return df.select("id", F.posexplode_outer(vector).alias("pos", "x")).withColumn("x", F.round("x", 8))
 
 
 @query("v2_vector", _sql_vector([*_P, *[f"z_{c}" for c in (*MECH, *_FLAGS)]]))

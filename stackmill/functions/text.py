@@ -50,59 +50,59 @@ def hashed_bits(words: Column, n_bits: int = 1024, max_n: int = 3) -> Column:
     return F.get(F.transform(F.array(words), bits), F.lit(0))
 
 
-def key_bits(text: Column, patterns: Sequence[str] = STRUCTURE_PATTERNS) -> Column:
-    """0/1 per pattern, in the order of the list."""
-    return F.array(*[F.coalesce(text.rlike(p), F.lit(False)).cast("int") for p in patterns])
+REGEX_SIGNS = set(r"[](){}.*+?^$|" + "\\")
+
 
+def _holds(text: Column, pattern: str) -> Column:
+    return text.rlike(pattern) if REGEX_SIGNS & set(pattern) else text.contains(pattern)
 
-def _kept(text: Column, outside: str) -> Column:
-    return F.length(F.regexp_replace(text, outside, "")).cast("double")
+
+def key_bits(text: Column, patterns: Sequence[str] = STRUCTURE_PATTERNS) -> Column:
+    """0/1 per pattern, in the order of the list."""
+    return F.array(*[F.coalesce(_holds(text, p), F.lit(False)).cast("int") for p in patterns])
 
 
 DESCRIPTOR_NAMES = (
     "n_chars", "n_letters", "n_upper", "n_digits", "n_branches", "n_double", "n_triple", "n_lines", "n_words",
     "letter_share", "upper_share", "digit_share", "other_share", "distinct_word_share", "mean_word",
 )
-
-
-def lexical_descriptors(text: Column, words: Column) -> dict[str, Column]:
-    """Counts and shares of a string, named as in DESCRIPTOR_NAMES."""
-    size = F.length(text).cast("double")
-    letters, upper, digits = _kept(text, "[^A-Za-z]+"), _kept(text, "[^A-Z]+"), _kept(text, "[^0-9]+")
-    blanks = size - _kept(text, "[ \t\r\n]+")
-    n_words = F.size(words).cast("double")
-    share = lambda part, whole: F.coalesce(F.try_divide(part, whole), F.lit(0.0))
-    values = (
-        size,
-        letters,
-        upper,
-        digits,
-        _kept(text, "[^()]+"),
-        _kept(text, "[^=]+"),
-        _kept(text, "[^#]+"),
-        _kept(text, "[^\n]+"),
-        n_words,
-        share(letters, size),
-        share(upper, size),
-        share(digits, size),
-        share(size - letters - digits - blanks, size),
-        share(F.size(F.array_distinct(words)).cast("double"), n_words),
-        share(size - blanks, n_words),
-    )
-    return dict(zip(DESCRIPTOR_NAMES, values, strict=True))
+# What each count leaves out of the text before its length is taken.
+OUTSIDE = {
+    "n_letters": "[^A-Za-z]+", "n_upper": "[^A-Z]+", "n_digits": "[^0-9]+", "n_branches": "[^()]+", "n_double": "[^=]+",
+    "n_triple": "[^#]+", "n_lines": "[^\n]+", "__solid": "[ \t\r\n]+",
+}
+
+
+def lexical_descriptors(df: DataFrame, text: str, words: str) -> DataFrame:
+    """Add the columns DESCRIPTOR_NAMES: counts of the string first, then the shares that are made of them."""
+    counts = {name: F.length(F.regexp_replace(text, outside, "")).cast("double") for name, outside in OUTSIDE.items()}
+    counts["n_chars"] = F.length(text).cast("double")
+    counts["n_words"] = F.size(words).cast("double")
+    counts["__distinct"] = F.size(F.array_distinct(words)).cast("double")
+    share = lambda part, whole: F.coalesce(F.try_divide(part, F.col(whole)), F.lit(0.0))
+    shares = {
+        "letter_share": share(F.col("n_letters"), "n_chars"),
+        "upper_share": share(F.col("n_upper"), "n_chars"),
+        "digit_share": share(F.col("n_digits"), "n_chars"),
+        "other_share": share(
+            F.col("n_chars") - F.col("n_letters") - F.col("n_digits") - (F.col("n_chars") - F.col("__solid")), "n_chars"
+        ),
+        "distinct_word_share": share(F.col("__distinct"), "n_words"),
+        "mean_word": share(F.col("__solid"), "n_words"),
+    }
+    return df.withColumns(counts).withColumns(shares).drop("__solid", "__distinct")
 
 
 def describe(df: DataFrame, text: str, keep: Sequence[str], n_bits: int = 1024) -> DataFrame:
-    """Id columns, validity, lexical descriptors, fingerprint bits and key bits of a text column in one projection.
+    """Id columns, validity, lexical descriptors, fingerprint bits and key bits of a text column in one narrow pass.
 
     A string is valid when it holds at least one word; an invalid one gets zero descriptors and no bits.
     """
     base = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__words", tokens(F.col("__text")))
-    named = lexical_descriptors(F.col("__text"), F.col("__words"))
-    return base.select(
+    return lexical_descriptors(base, "__text", "__words").select(
         *keep,
         (F.size("__words") > 0).alias("valid"),
-        F.array(*[finite_or_zero(named[n]) for n in DESCRIPTOR_NAMES]).alias("descriptors"),
+        F.transform(F.array(*DESCRIPTOR_NAMES), finite_or_zero).alias("descriptors"),
         hashed_bits(F.col("__words"), n_bits).alias("bits"),
         key_bits(F.col("__text")).alias("keys"),
     )

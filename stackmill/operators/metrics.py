@@ -79,6 +79,11 @@ def auc(df: DataFrame, keys: Sequence[str] = (), y_true: str = "y_true", prob: s
     return run_table(df, keys, y_true, prob).select(*keys, "auc")
 
 
+def mcc_by_run(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Only the MCC of every run: one aggregation, no ranks."""
+    return confusion(df, keys).select(*keys, scores.mcc().alias("mcc"))
+
+
 def with_metrics(counts: DataFrame, digits: int | None = None) -> DataFrame:
     """The 13-value metric vector of a table with the four counts (and ``auc``, if the table has it)."""
     values = {

@@ -74,7 +74,7 @@ def mutual_information(df: DataFrame, features: str = "features", label: str = "
         return F.least(F.lit(bins - 1), place.cast("int"))
 
     binned = df.join(F.broadcast(ranges), F.lit(True), "inner").select(
-        F.col(label).alias("y"), F.posexplode(F.transform(features, bin_of)).alias("pos", "bin")
+        F.col(label).alias("y"), F.posexplode_outer(F.transform(features, bin_of)).alias("pos", "bin")
     )
     cells = binned.groupBy("pos", "bin", "y").agg(F.count("*").alias("n"))  # features x bins x classes rows
     per = lambda *keys: F.sum("n").over(Window.partitionBy(*keys)).cast("double")

@@ -168,8 +168,8 @@ class Ensemble:
 
 def select_runs(pred: DataFrame, fraction: float) -> dict[str, list[tuple[int, int]]]:
     """The best runs of every model by validation MCC (one row per run is collected)."""
-    table = metrics.run_metrics(pred.filter("role = 'fold_val'"), ["model", "seed", "fold"])
-    best = selection.top_fraction(table.select("model", "seed", "fold", "mcc"), "model", "mcc", ["seed", "fold"], fraction)
+    table = metrics.mcc_by_run(pred.filter("role = 'fold_val'"), ["model", "seed", "fold"])
+    best = selection.top_fraction(table, "model", "mcc", ["seed", "fold"], fraction)
     chosen: dict[str, list[tuple[int, int]]] = {}
     for r in best.collect():
         chosen.setdefault(r["model"], []).append((r["seed"], r["fold"]))
@@ -228,7 +228,9 @@ def train(
     stats, meta = fit_meta(meta_rows, hidden, max_iter, linear)
 
     mean = stack.ensemble_mean(used.filter("role = 'test'"), ["id", "model", "y_true"])
-    test = stack.wide(mean, ["id", "y_true"], F.col("model"), names).select("id", "y_true", F.array(*names).alias("features"))
+    test = stack.wide(used.filter("role = 'test'"), ["id", "y_true"], F.col("model"), names, how=F.avg).select(
+        "id", "y_true", F.array(*names).alias("features")
+    )
     stacked = meta.score(standardized(test, stats)).select(F.lit("stack").alias("model"), "y_true", "prob")
     everything = mean.select("model", "y_true", "prob").unionByName(stacked)
     return Ensemble(bank, dict(models), chosen, stats, meta), metrics.run_metrics(everything, ["model"])
