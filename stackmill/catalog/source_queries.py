@@ -39,11 +39,11 @@ def load_labels(spark, folder):
     path = scratch_path(spark, "labels")
     title, header = "Ranked list, version 2", "CompoundName,vDILI-Concern,SeverityClass"
     row = F.concat(F.lit("doc "), "doc_id", F.lit(","), F.expr(_CONCERN), F.lit(",level "), "toxic")
-    body = table(spark, folder, "labels").select((F.col("doc_id") % 4).alias("part"), F.lit(2).alias("place"), row.alias("value"))
+    body = table(spark, folder, "labels").select(F.floor(F.col("doc_id") / 100_000).alias("part"), F.lit(2).alias("place"), row.alias("value"))
     heads = F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit(title).alias("value")), F.struct(F.lit(1).alias("place"), F.lit(header).alias("value"))))
     tops = body.select("part").distinct().select("part", heads.alias("h")).select("part", "h.place", "h.value")
     # every part file starts with the title and the header
-    body.unionByName(tops).repartition(4, "part").sortWithinPartitions("part", "place").select("value").write.text(path)
+    body.unionByName(tops).repartition("part").sortWithinPartitions("part", "place").select("value").write.text(path)
     rows = map_labels(R.scan_titled_csv(spark, path), concern_key(F.col("vDILI-Concern")))
     return rows.select("CompoundName", "label", "SeverityClass")
 

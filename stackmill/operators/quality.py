@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stackmill.operators.ranks import with_row
+
 # Acceptance thresholds and baselines.
 THRESHOLDS = {"mcc": 0.3, "auc": 0.7, "sensitivity": 0.6, "specificity": 0.6}
 MIN_ROWS = 100
@@ -25,12 +27,12 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows per class, the ratio of the smallest to the largest class, and a warning below 0.2."""
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
     extremes = counts.agg(F.min("n").alias("__lo"), F.max("n").alias("__hi"), F.sum("n").alias("n_rows"))
-    ratio = F.col("__lo") / F.col("__hi")
-    return counts.join(F.broadcast(extremes), F.lit(True), "inner").select(
+    ratio = F.col("e.__lo") / F.col("e.__hi")
+    return with_row(counts, extremes, "e").select(
         "label",
         "n",
-        "n_rows",
-        (F.col("n") / F.col("n_rows")).alias("share"),
+        F.col("e.n_rows").alias("n_rows"),
+        (F.col("n") / F.col("e.n_rows")).alias("share"),
         ratio.alias("class_ratio"),
         (ratio < 0.2).alias("imbalanced"),
     )
@@ -40,8 +42,8 @@ def class_weights(df: DataFrame, label: str = "label", weight: str = "weight") -
     """Add the balanced weight n / (classes * n_class) to every row."""
     counts = df.groupBy(label).agg(F.count("*").alias("__c"))
     totals = counts.agg(F.sum("__c").alias("__n"), F.count("*").alias("__k"))
-    per_class = counts.join(F.broadcast(totals), F.lit(True), "inner").select(
-        label, (F.col("__n") / (F.col("__k") * F.col("__c"))).alias(weight)
+    per_class = with_row(counts, totals, "t").select(
+        label, (F.col("t.__n") / (F.col("t.__k") * F.col("__c"))).alias(weight)
     )
     return df.join(F.broadcast(per_class), label)
 
@@ -70,8 +72,8 @@ def data_quality(df: DataFrame, features: str = "features", label: str = "label"
     classes = df.groupBy(label).agg(F.count("*").alias("c")).agg(
         F.count("*").alias("n_classes"), (F.min("c") / F.max("c")).alias("class_ratio")
     )
-    one = profile.join(F.broadcast(classes), F.lit(True), "inner").withColumn(
-        "n_constant", F.aggregate(constant, F.lit(0), lambda acc, v: acc + v).cast("bigint")
+    one = with_row(profile, classes, "c").select(
+        "*", "c.*", F.aggregate(constant, F.lit(0), lambda acc, v: acc + v).cast("bigint").alias("n_constant")
     )
     text = lambda c: F.col(c).cast("string")
     issues = [

@@ -2,7 +2,8 @@
 
 A window partitioned by a label or a run puts the whole group into one task. Here the order of a group is cut into
 buckets first: the window runs per (group, bucket), and a second, small window over one row per (group, bucket) supplies
-what came before. The result equals the plain window's.
+what came before. The result equals the plain window's. Group and bucket travel as one struct: null keys are equal to
+themselves, and the window's partitioning serves the join that brings the offsets in.
 """
 
 from __future__ import annotations
@@ -13,13 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _join_on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Inner join on null-safe equality; the right side's key columns are dropped."""
-    renamed = right.select(
-        *[F.col(n).alias(f"__r_{n}") if n in names else F.col(n) for n in right.columns]
-    )
-    on = [F.col(n).eqNullSafe(F.col(f"__r_{n}")) for n in names]
-    return left.join(renamed, on, "inner").drop(*[f"__r_{n}" for n in names])
+def with_row(df: DataFrame, one: DataFrame, name: str) -> DataFrame:
+    """Add the single row of ``one`` to every row as a struct column: a scalar subquery, evaluated once, no join."""
+    return df.withColumn(name, one.select(F.struct(*one.columns).alias("row")).scalar())
 
 
 def ranked(
@@ -34,20 +31,20 @@ def ranked(
 
     ``bucket`` must not contradict the order: rows of a smaller bucket come first.
     """
-    local = df.withColumn("__local", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)).cast("bigint"))
-    counts = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("__n"))
-    group = Window.partitionBy(*keys)
-    before = group.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.withColumn("__k", F.struct(*keys, bucket))
+    local = placed.withColumn("__local", F.row_number().over(Window.partitionBy("__k").orderBy(*order)).cast("bigint"))
+    counts = placed.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
+    group = Window.partitionBy(*[F.col("__k")[k] for k in keys])
+    before = group.orderBy(F.col("__k")[bucket]).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys,
-        bucket,
+        "__k",
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
         F.sum("__n").over(group).alias("__size"),
     )
-    out = _join_on(local, offsets, [*keys, bucket]).withColumn(rank, F.col("__local") + F.col("__before"))
+    out = local.join(offsets, "__k").withColumn(rank, F.col("__local") + F.col("__before"))
     if size:
         out = out.withColumn(size, F.col("__size"))
-    return out.drop("__local", "__before", "__size")
+    return out.drop("__k", "__local", "__before", "__size")
 
 
 def running(
@@ -64,16 +61,19 @@ def running(
 
     ``merge`` joins two folded values and must skip nulls, as ``greatest`` does.
     """
-    earlier = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("__local", fold(F.col(value)).over(earlier))
-    parts = df.groupBy(*keys, bucket).agg(fold(F.col(value)).alias("__part"))
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(*keys, bucket, fold(F.col("__part")).over(before).alias("__before"))
-    joined = _join_on(local, offsets, [*keys, bucket])
-    return joined.withColumn(out, merge(F.col("__local"), F.col("__before"))).drop("__local", "__before")
+    placed = df.withColumn("__k", F.struct(*keys, bucket))
+    earlier = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("__local", fold(F.col(value)).over(earlier))
+    parts = placed.groupBy("__k").agg(fold(F.col(value)).alias("__part"))
+    group = Window.partitionBy(*[F.col("__k")[k] for k in keys])
+    before = group.orderBy(F.col("__k")[bucket]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("__k", fold(F.col("__part")).over(before).alias("__before"))
+    joined = local.join(offsets, "__k")
+    return joined.withColumn(out, merge(F.col("__local"), F.col("__before"))).drop("__k", "__local", "__before")
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, rank: str = "rn") -> DataFrame:
     """The first ``n`` rows of every group. Each task keeps ``n`` rows per group before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window).cast("bigint")).filter(F.col(rank) <= n)
+    kept = df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
+    return kept.withColumn(rank, F.col(rank).cast("bigint"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackmill.functions import arrays
+from stackmill.operators.ranks import with_row
 
 
 def feature_stats(df: DataFrame, features: str = "features", keys: Sequence[str] = ()) -> DataFrame:
@@ -80,11 +81,14 @@ def scale(
 ) -> DataFrame:
     """Apply fitted statistics. ``stats`` has one row per split (splits x features values), so it is broadcast."""
     names = ["low", "high"] if kind == "minmax" else ["mean", "std"]
-    fitted = F.broadcast(stats.select(*keys, *[F.col(n).alias(f"__{n}") for n in names]))
-    joined = df.join(fitted, list(keys)) if keys else df.join(fitted, F.lit(True))
+    if keys:
+        fitted = F.broadcast(stats.select(*keys, F.struct(*names).alias("__fit")))
+        joined = df.join(fitted, list(keys))
+    else:
+        joined = with_row(df, stats.select(*names), "__fit")
     apply = arrays.minmax if kind == "minmax" else arrays.standardize
-    scaled = apply(F.col(features), *[F.col(f"__{n}") for n in names])
-    return joined.withColumn(features, scaled).drop(*[f"__{n}" for n in names])
+    scaled = apply(F.col(features), *[F.col("__fit")[n] for n in names])
+    return joined.withColumn(features, scaled).drop("__fit")
 
 
 def scale_blocks(
@@ -99,11 +103,11 @@ def scale_blocks(
         *[F.avg(F.col(c).cast("double")).alias(f"__m_{c}") for c in columns],
         *[F.stddev_pop(F.col(c).cast("double")).alias(f"__s_{c}") for c in columns],
     )
-    joined = df.join(F.broadcast(fit), F.lit(True), "inner")
+    joined = with_row(df, fit, "__fit")
 
     def z(c: str) -> Column:
-        sd = F.col(f"__s_{c}")
-        return (F.col(c).cast("double") - F.col(f"__m_{c}")) / F.when(sd == 0.0, F.lit(1.0)).otherwise(sd)
+        sd = F.col("__fit")[f"__s_{c}"]
+        return (F.col(c).cast("double") - F.col("__fit")[f"__m_{c}"]) / F.when(sd == 0.0, F.lit(1.0)).otherwise(sd)
 
     return joined.select(*keep, *[F.array(*[z(c) for c in block]).alias(name) for name, block in blocks.items()])
 
@@ -112,9 +116,9 @@ def impute_with_flag(df: DataFrame, columns: Sequence[str], fit_on: Column | Non
     """Fill missing values with the column's mean and add ``<column>_imputed`` (1 where a value was filled)."""
     fit_rows = df if fit_on is None else df.filter(fit_on)
     means = fit_rows.agg(*[F.avg(F.col(c).cast("double")).alias(f"__m_{c}") for c in columns])
-    joined = df.join(F.broadcast(means), F.lit(True), "inner")
+    joined = with_row(df, means, "__fit")
     for c in columns:
         joined = joined.withColumn(f"{c}_imputed", F.col(c).isNull().cast("int")).withColumn(
-            c, F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}"))
+            c, F.coalesce(F.col(c).cast("double"), F.col("__fit")[f"__m_{c}"])
         )
-    return joined.drop(*[f"__m_{c}" for c in columns])
+    return joined.drop("__fit")

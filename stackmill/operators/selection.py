@@ -9,6 +9,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackmill.operators.ranks import with_row
+
 # The band of validation MCC in which a run is kept.
 MCC_BAND = (0.128, 0.351)
 TOP_FRACTION = 0.7
@@ -65,15 +67,15 @@ def mutual_information(df: DataFrame, features: str = "features", label: str = "
     """Mutual information (nats) of every feature, cut into equal-width bins, with the label."""
     s = Summarizer.metrics("min", "max").summary(array_to_vector(F.col(features)))
     ranges = df.agg(s.alias("s")).select(
-        vector_to_array("s.min").alias("__lo"), vector_to_array("s.max").alias("__hi")
+        vector_to_array("s.min").alias("lo"), vector_to_array("s.max").alias("hi")
     )
 
     def bin_of(x: Column, i: Column) -> Column:
-        lo, hi = F.get("__lo", i), F.get("__hi", i)
+        lo, hi = F.get(F.col("__range.lo"), i), F.get(F.col("__range.hi"), i)
         place = F.floor(F.lit(float(bins)) * (x - lo) / F.when(hi == lo, 1.0).otherwise(hi - lo))
         return F.least(F.lit(bins - 1), place.cast("int"))
 
-    binned = df.join(F.broadcast(ranges), F.lit(True), "inner").select(
+    binned = with_row(df, ranges, "__range").select(
         F.col(label).alias("y"), F.posexplode_outer(F.transform(features, bin_of)).alias("pos", "bin")
     )
     cells = binned.groupBy("pos", "bin", "y").agg(F.count("*").alias("n"))  # features x bins x classes rows
