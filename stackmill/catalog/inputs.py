@@ -216,9 +216,9 @@ mech AS (
 # -- the run ledger ---------------------------------------------------------------------------------------------------
 
 
-def ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """run, iteration, ts, action, score, success: the events of every user in the order of time."""
-    events = table(spark, folder, "events").select(
+def actions(spark: SparkSession, folder: str) -> DataFrame:
+    """run, event_id, ts, action, score, props: the events of every user, not yet numbered."""
+    return table(spark, folder, "events").select(
         F.col("user_id").alias("run"),
         "event_id",
         "ts",
@@ -226,7 +226,11 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("value") / 500.0).alias("score"),
         "props",
     )
-    return L.numbered(events, "run", "ts", "event_id", F.date_trunc("hour", "ts")).withColumn(
+
+
+def ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The actions numbered in the order of time, with their success."""
+    return L.numbered(actions(spark, folder), "run", "ts", "event_id", F.date_trunc("hour", "ts")).withColumn(
         "success", L.success(F.col("action"))
     )
 

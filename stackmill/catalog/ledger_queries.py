@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stackmill.catalog.inputs import LEDGER, METRIC_COLUMNS, PRED, ledger, predictions, sql_metrics
+from stackmill.catalog.inputs import LEDGER, METRIC_COLUMNS, PRED, actions, ledger, predictions, sql_metrics
 from stackmill.catalog.metrics_queries import rounded
 from stackmill.catalog.registry import query
 from stackmill.functions import text
@@ -17,8 +17,8 @@ best AS (SELECT *, score > best_before AS improved, greatest(best_before, score)
 
 
 def _best(spark, folder):
-    rows = ledger(spark, folder)
-    return L.best_so_far(rows, "run", ["ts", "event_id"], "score", F.date_trunc("hour", "ts"))
+    rows = actions(spark, folder)
+    return L.best_so_far(rows, "run", "ts", "event_id", "score", F.date_trunc("hour", "ts"))
 
 
 @query("best_so_far", f"{_BEST} SELECT run, iteration, round(best_before, 6) AS best_before, round(best_after, 6) AS best_after, improved FROM best")

@@ -16,13 +16,17 @@ from stackmill.plans import bank as B
 from stackmill.plans import estimators as E
 from stackmill.plans import stacking as S
 from stackmill.session import scratch_path, stored
+from stackmill.sources.readers import table
+
+
+def _truth(spark, folder):
+    return table(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
 
 
 def _halves(spark, folder):
     """Labelled, standardised documents: a training part and a stratified hold-out."""
-    rows = stored(labelled(spark, folder), "labelled")
-    marks = P.stratified_holdout(rows.select("id", "label"), "id", "label")
-    joined = rows.join(marks.select("id", "is_holdout"), "id")
+    marks = P.stratified_holdout(_truth(spark, folder), "id", "label")
+    joined = stored(labelled(spark, folder).join(marks.select("id", "is_holdout"), "id"), "halves")
     stats = C.feature_stats(joined.filter("is_holdout = 0")).first()
     ready = S.standardized(joined, stats)
     return ready.filter("is_holdout = 0"), ready.filter("is_holdout = 1")
@@ -145,9 +149,8 @@ def validate_external(spark, folder):
 
 
 def _roles(spark, folder):
-    rows = _rows(spark, folder)
-    marks = P.stratified_holdout(rows.select("id", "label"), "id", "label")
-    return rows.join(marks.select("id", F.when(F.col("is_holdout") == 1, "holdout").otherwise("train").alias("role")), "id")
+    marks = P.stratified_holdout(_truth(spark, folder), "id", "label")
+    return labelled(spark, folder).join(marks.select("id", F.when(F.col("is_holdout") == 1, "holdout").otherwise("train").alias("role")), "id")
 
 
 @query("base_bank")

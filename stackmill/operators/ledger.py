@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackmill.operators.ranks import ranked, running, top_rows
+from stackmill.operators.ranks import Running, prefix, ranked, top_rows
 
 
 def numbered(ledger: DataFrame, run: str, ts: str, tie: str, bucket: Column, out: str = "iteration") -> DataFrame:
@@ -16,13 +16,15 @@ def numbered(ledger: DataFrame, run: str, ts: str, tie: str, bucket: Column, out
 
 
 def best_so_far(
-    ledger: DataFrame, run: str, order: Sequence[str], score: str, bucket: Column, start: float = 0.0
+    ledger: DataFrame, run: str, ts: str, tie: str, score: str, bucket: Column, start: float = 0.0, out: str = "iteration"
 ) -> DataFrame:
-    """``best_before`` (the best earlier score, at least ``start``) and whether the row improves on it strictly."""
-    out = running(ledger.withColumn("__t", bucket), [run], "__t", list(order), score, "best_before").drop("__t")
+    """Number the actions of a run and add ``best_before`` (the best earlier score, at least ``start``), ``best_after``
+    and whether the row improves strictly: one pass over the ledger."""
+    placed = ledger.withColumn("__t", bucket)
+    rows = prefix(placed, [run], "__t", [ts, tie], rank=out, values={"best_before": Running(score)}).drop("__t")
     best = F.greatest(F.coalesce(F.col("best_before"), F.lit(start)), F.lit(start))
     return (
-        out.withColumn("best_before", best)
+        rows.withColumn("best_before", best)
         .withColumn("improved", F.coalesce(F.col(score) > F.col("best_before"), F.lit(False)))
         .withColumn("best_after", F.greatest(F.col("best_before"), F.col(score)))
     )

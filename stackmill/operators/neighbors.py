@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,7 @@ from stackmill.operators.scaling import scale
 
 BLOCK_ROWS = 20_000
 MAX_PIVOTS = 512
+PIVOT_BYTES = 64 * 1024 * 1024
 PAIR_BATCH = 65_536
 TILE_VALUES = 4_000_000
 
@@ -97,13 +99,13 @@ class _Grouped:
             yield key, np.asarray(rows)
 
 
-def _assign(pivots: dict, groups: Sequence[str], features: str, metric: str):
+def _assign(pivots: Broadcast, groups: Sequence[str], features: str, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(features))
             cell, gap = np.zeros(len(batch), np.int32), np.zeros(len(batch))
             for key, rows in _Grouped(batch, groups).items():
-                d = _cells_of(x[rows], pivots[key], metric)
+                d = _cells_of(x[rows], pivots.value[key], metric)
                 cell[rows] = d.argmin(axis=1)
                 gap[rows] = d.min(axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -113,9 +115,9 @@ def _assign(pivots: dict, groups: Sequence[str], features: str, metric: str):
     return run
 
 
-def _route(pivots: dict, cells: dict, groups: Sequence[str], features: str, metric: str, k: int):
+def _route(pivots: Broadcast, cells: Broadcast, groups: Sequence[str], features: str, metric: str, k: int):
     def needed(d: np.ndarray, key: tuple) -> np.ndarray:
-        rows, near, far = cells[key]  # per pivot: rows, smallest and largest distance to the pivot
+        rows, near, far = cells.value[key]  # per pivot: rows, smallest and largest distance to the pivot
         reach = np.where(rows > 0, d + far, np.inf)
         order = np.argsort(reach, axis=1)
         enough = np.cumsum(rows[order], axis=1) >= min(k, rows.sum())
@@ -127,9 +129,9 @@ def _route(pivots: dict, cells: dict, groups: Sequence[str], features: str, metr
         for batch in batches:
             x = _matrix(batch.column(features))
             for key, rows in _Grouped(batch, groups).items():
-                if key not in cells:
+                if key not in cells.value:
                     continue
-                row, cell = np.nonzero(needed(_cells_of(x[rows], pivots[key], metric), key))
+                row, cell = np.nonzero(needed(_cells_of(x[rows], pivots.value[key], metric), key))
                 picked = batch.take(pa.array(rows[row]))
                 yield pa.RecordBatch.from_arrays(
                     [*picked.columns, pa.array(cell.astype(np.int32))], names=[*picked.schema.names, "cell"]
@@ -149,18 +151,26 @@ def _one_cell_each(queries: DataFrame, train: DataFrame) -> tuple[DataFrame, Dat
     return queries.withColumn("cell", F.lit(0)), train.withColumn("cell", F.lit(0))
 
 
+def _affordable(train: DataFrame, n_groups: int) -> int:
+    """How many pivots per group keep all pivots together below the broadcast limit."""
+    first = train.select(F.size("features").alias("d")).first()
+    return max(2, PIVOT_BYTES // (8 * max(1, first["d"]) * max(1, n_groups)))
+
+
 def _pivot_cells(
     queries: DataFrame, train: DataFrame, k: int, groups: Sequence[str], metric: str, n_pivots: int
 ) -> tuple[DataFrame, DataFrame]:
     # Of identical rows only the k smallest ids can ever be neighbours, so copies leave before any shuffle.
     train = top_rows(train, [*groups, "features"], ["id"], k, rank="__copy").drop("__copy")
+    context = train.sparkSession.sparkContext
     sample = top_rows(train, list(groups), [F.xxhash64("id"), "id"], n_pivots).select(*groups, "features").collect()
     pivots = {key: np.array([r["features"] for r in rows]) for key, rows in _keyed(sample, groups).items()}
+    shared = context.broadcast(pivots)
 
     placed_schema = T.StructType(
         [*train.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())]
     )
-    placed = train.mapInArrow(_assign(pivots, groups, "features", metric), placed_schema)
+    placed = train.mapInArrow(_assign(shared, groups, "features", metric), placed_schema)
     radii = placed.groupBy(*groups, "cell").agg(F.count("*").alias("n"), F.min("gap").alias("near"), F.max("gap").alias("far"))
     cells = {}
     for key, rows in _keyed(radii.collect(), groups).items():
@@ -170,7 +180,7 @@ def _pivot_cells(
         cells[key] = (n, near, far)
 
     routed_schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
-    routed = queries.mapInArrow(_route(pivots, cells, groups, "features", metric, k), routed_schema)
+    routed = queries.mapInArrow(_route(shared, context.broadcast(cells), groups, "features", metric, k), routed_schema)
     return routed, placed.drop("gap")
 
 
@@ -228,7 +238,7 @@ def knn_join(
         rows = counted.collect()  # one row per group
         largest = max((r["t_blocks"] for r in rows), default=0)
         if n_pivots is None:
-            n_pivots = 1 if largest <= 1 else min(MAX_PIVOTS, largest * 4)
+            n_pivots = 1 if largest <= 1 else min(MAX_PIVOTS, largest * 4, _affordable(train, len(rows)))
         sizes = queries.sparkSession.createDataFrame(rows, counted.schema)
     if scaler is not None:
         queries, train = scale(queries, scaler, groups), scale(train, scaler, groups)

@@ -8,7 +8,8 @@ themselves, and the window's partitioning serves the join that brings the offset
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,57 +20,74 @@ def with_row(df: DataFrame, one: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, one.select(F.struct(*one.columns).alias("row")).scalar())
 
 
-def ranked(
+@dataclass(frozen=True)
+class Running:
+    """``fold(value)`` over all earlier rows of the group (the current row excluded); null for the first row.
+
+    ``merge`` joins two folded values and must skip nulls, as ``greatest`` does.
+    """
+
+    value: str
+    fold: Callable[[Column], Column] = F.max
+    merge: Callable[[Column, Column], Column] = F.greatest
+
+
+def prefix(
     df: DataFrame,
     keys: Sequence[str],
     bucket: str,
     order: Sequence[Column | str],
-    rank: str = "rn",
+    rank: str | None = None,
     size: str | None = None,
+    values: Mapping[str, Running] | None = None,
 ) -> DataFrame:
-    """``row_number() over (partition by keys order by bucket, order)`` and, optionally, the size of the group.
+    """Rank, group size and running values in the order (bucket, order) of each group, from one shuffle of the rows.
 
     ``bucket`` must not contradict the order: rows of a smaller bucket come first.
     """
+    values = values or {}
     placed = df.withColumn("__k", F.struct(*keys, bucket))
-    local = placed.withColumn("__local", F.row_number().over(Window.partitionBy("__k").orderBy(*order)).cast("bigint"))
-    counts = placed.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
+    ordered = Window.partitionBy("__k").orderBy(*order)
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumns(
+        {
+            "__rank": F.row_number().over(ordered).cast("bigint"),
+            **{f"__v_{name}": r.fold(F.col(r.value)).over(earlier) for name, r in values.items()},
+        }
+    )
+    parts = placed.groupBy("__k").agg(
+        F.count(F.lit(1)).alias("__n"), *[r.fold(F.col(r.value)).alias(f"__p_{name}") for name, r in values.items()]
+    )
     group = Window.partitionBy(*[F.col("__k")[k] for k in keys])
     before = group.orderBy(F.col("__k")[bucket]).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
+    offsets = parts.select(
         "__k",
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
         F.sum("__n").over(group).alias("__size"),
+        *[r.fold(F.col(f"__p_{name}")).over(before).alias(f"__b_{name}") for name, r in values.items()],
     )
-    out = local.join(offsets, "__k").withColumn(rank, F.col("__local") + F.col("__before"))
+    joined = local.join(offsets, "__k")
+    out = {name: r.merge(F.col(f"__v_{name}"), F.col(f"__b_{name}")) for name, r in values.items()}
+    if rank:
+        out[rank] = F.col("__rank") + F.col("__before")
     if size:
-        out = out.withColumn(size, F.col("__size"))
-    return out.drop("__k", "__local", "__before", "__size")
+        out[size] = F.col("__size")
+    own = [c for c in df.columns if c not in out]
+    return joined.select(*own, *[c.alias(name) for name, c in out.items()])
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    bucket: str,
-    order: Sequence[Column | str],
-    value: str,
-    out: str,
-    fold: Callable[[Column], Column] = F.max,
-    merge: Callable[[Column, Column], Column] = F.greatest,
+def ranked(
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str], rank: str = "rn", size: str | None = None
 ) -> DataFrame:
-    """``fold(value)`` over all earlier rows of the group (the current row excluded); null for the first row.
+    """``row_number() over (partition by keys order by bucket, order)`` and, optionally, the size of the group."""
+    return prefix(df, keys, bucket, order, rank, size)
 
-    ``merge`` joins two folded values and must skip nulls, as ``greatest`` does.
-    """
-    placed = df.withColumn("__k", F.struct(*keys, bucket))
-    earlier = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.withColumn("__local", fold(F.col(value)).over(earlier))
-    parts = placed.groupBy("__k").agg(fold(F.col(value)).alias("__part"))
-    group = Window.partitionBy(*[F.col("__k")[k] for k in keys])
-    before = group.orderBy(F.col("__k")[bucket]).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("__k", fold(F.col("__part")).over(before).alias("__before"))
-    joined = local.join(offsets, "__k")
-    return joined.withColumn(out, merge(F.col("__local"), F.col("__before"))).drop("__k", "__local", "__before")
+
+def running(
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str], value: str, out: str
+) -> DataFrame:
+    """The largest earlier ``value`` of the group."""
+    return prefix(df, keys, bucket, order, values={out: Running(value)})
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, rank: str = "rn") -> DataFrame:

@@ -103,7 +103,7 @@ def run_bank(
     folds: int = 5,
     path: str | None = None,
     scaler: str = "minmax",
-    parallelism: int = 4,
+    parallelism: int = 8,
     keep_models: bool = False,
 ) -> Bank:
     """Fit every model on every split and write its predictions for the split's validation rows and all other roles.

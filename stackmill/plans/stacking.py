@@ -66,7 +66,7 @@ def train_model(train: DataFrame, model_type: str = "random_forest", params: Map
 
 
 def cross_validate(
-    rows: DataFrame, models: Mapping[str, Mapping[str, Any]], folds: int = 5, repeats: int = 3, parallelism: int = 4
+    rows: DataFrame, models: Mapping[str, Mapping[str, Any]], folds: int = 5, repeats: int = 3, parallelism: int = 8
 ) -> DataFrame:
     """Metrics of every (model, seed, fold) on its validation rows. ``rows``: id, label, features."""
     bank = run_bank(rows.withColumn("role", F.lit("train")), models, range(repeats), folds, scaler="standard", parallelism=parallelism)
@@ -114,7 +114,7 @@ def hyperparameter_search(
     method: str = "random",
     n_iter: int = 20,
     folds: int = 5,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Mean MCC over stratified folds of every tried parameter set, best first. ``rows``: id, label, features."""
     grid = grid or GRID[model_type]
@@ -207,7 +207,7 @@ def train(
     hidden: Sequence[int] = META_HIDDEN["base"],
     max_iter: int = 200,
     linear: bool = False,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> tuple[Ensemble, DataFrame]:
     """Hold-out, bank of fits, selection, out-of-fold meta features, meta-learner.
 
@@ -306,7 +306,7 @@ def load(spark: SparkSession, path: str) -> Ensemble:
 
 
 def train_ensemble(
-    rows: DataFrame, models: Mapping[str, Mapping[str, Any]], folds: int = 5, parallelism: int = 4
+    rows: DataFrame, models: Mapping[str, Mapping[str, Any]], folds: int = 5, parallelism: int = 8
 ) -> tuple[DataFrame, dict[str, Fitted], Fitted]:
     """Stacking with a logistic meta-learner: cross-validated scores, the base models and the meta-learner on all rows.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,8 +88,10 @@ def find_files(spark: SparkSession, folder: str, patterns: Sequence[str] = DATA_
 
 
 def preview_columns(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The header of each CSV file (its first line only)."""
-    rows = [(p, spark.read.option("header", True).csv(p).columns) for p in paths]
+    """The header of each CSV file. Only first lines are read, a few files at a time."""
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        headers = list(pool.map(lambda p: spark.read.option("header", True).csv(p).columns, paths))
+    rows = list(zip(paths, headers, strict=True))
     return spark.createDataFrame(rows, "path string, columns array<string>")
 
 
