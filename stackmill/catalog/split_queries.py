@@ -183,14 +183,14 @@ _PROBS = f"probs AS (SELECT id, {', '.join(f'avg(prob) FILTER (model = {chr(39)}
 
 
 def _sql_vector(parts) -> str:
-    return f"WITH {PRED}, {MECHANISTIC}, {_IMPUTED}, {_SCALED}, {_PROBS}, v AS (SELECT id, [{', '.join(parts)}] AS f FROM scaled JOIN probs USING (id)) SELECT id, i::INT - 1 AS pos, round(f[i], 8) AS x FROM v, range(1, {len(parts)} + 1) t(i)"
+    return f"WITH {PRED}, {MECHANISTIC}, {_IMPUTED}, {_SCALED}, {_PROBS}, v AS (SELECT id, [{', '.join(parts)}] AS f FROM scaled JOIN probs USING (id)) SELECT id, i::INT - 1 AS pos, round(f[i], 7) AS x FROM v, range(1, {len(parts)} + 1) t(i)"
 
 
 _P = [f"p_{m}" for m in MODELS]
 
 
 def _exploded(df, vector):
-    return df.select("id", F.posexplode_outer(vector).alias("pos", "x")).withColumn("x", F.round("x", 8))
+    return df.select("id", F.posexplode_outer(vector).alias("pos", "x")).withColumn("x", F.round("x", 7))
 
 
 @query("v2_vector", _sql_vector([*_P, *[f"z_{c}" for c in (*MECH, *_FLAGS)]]))
@@ -282,6 +282,6 @@ _LARGE = f"""WITH {VECTORS}, vec AS (SELECT 0 AS part, id, label, features AS v,
 def knn_large(spark, folder):
     """The 11 nearest rows by the pivot-cell join that a large training side takes."""
     rows = vectors(spark, folder).withColumn("held", hash_int(F.col("id").cast("string")) % 5 == 0)
-    found = N.knn_join(rows.filter("held"), rows.filter("NOT held"), 11, n_pivots=16, block_rows=100)
+    found = N.knn_join(rows.filter("held"), rows.filter("NOT held"), 11, min_pivots=16)
     return found.select("id", "neighbour", "rank", F.round("distance", 6).alias("distance"))
 

@@ -214,12 +214,13 @@ def knn_join(
     n_pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
     scaler: DataFrame | None = None,
+    min_pivots: int = 1,
 ) -> DataFrame:
     """The k nearest training rows of every query within its group, nearest first, ties to the smaller id.
 
     ``queries``: groups, id, features. ``train``: groups, id, features, label. Returns groups, id, neighbour,
     distance, label, rank. ``groups`` are splits (a bounded number); ``n_pivots`` None picks a number from the largest
-    group's row count, and 1 means no cells. ``scaler`` has the fitted min-max statistics of every group and is applied
+    group's row count (at least ``min_pivots``), and 1 means no cells. ``scaler`` has the fitted min-max statistics of every group and is applied
     to both sides after their rows were counted.
     """
     groups = list(groups)
@@ -239,6 +240,7 @@ def knn_join(
         largest = max((r["t_blocks"] for r in rows), default=0)
         if n_pivots is None:
             n_pivots = 1 if largest <= 1 else min(MAX_PIVOTS, largest * 4, _affordable(train, len(rows)))
+            n_pivots = max(n_pivots, min_pivots)
         sizes = queries.sparkSession.createDataFrame(rows, counted.schema)
     if scaler is not None:
         queries, train = scale(queries, scaler, groups), scale(train, scaler, groups)
