@@ -21,6 +21,7 @@ from stackmill.operators.ranks import top_rows
 from stackmill.operators.scaling import scale
 
 BLOCK_ROWS = 20_000
+PLAIN_BLOCKS = 8  # up to this many training blocks per group, cells cost more than they save
 MAX_PIVOTS = 512
 PIVOT_BYTES = 64 * 1024 * 1024
 PAIR_BATCH = 65_536
@@ -239,7 +240,7 @@ def knn_join(
         rows = counted.collect()  # one row per group
         largest = max((r["t_blocks"] for r in rows), default=0)
         if n_pivots is None:
-            n_pivots = 1 if largest <= 1 else min(MAX_PIVOTS, largest * 4, _affordable(train, len(rows)))
+            n_pivots = 1 if largest <= PLAIN_BLOCKS else min(MAX_PIVOTS, largest * 4, _affordable(train, len(rows)))
             n_pivots = max(n_pivots, min_pivots)
         sizes = queries.sparkSession.createDataFrame(rows, counted.schema)
     if scaler is not None:
