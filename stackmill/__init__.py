@@ -1,3 +1,10 @@
 """Stacked classification on Spark: feature tables, splits, model banks, meta-learners and reports as DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in tasks travel with the job, so that executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
