@@ -17,7 +17,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 #: Per script: least and most characters per token, most byte-fallback share, least token entropy in bits.
 BANDS = {
-    "latin": (1.2, 9.0, 0.20, 3.0),
+    "latin": (1.5, 9.0, 0.15, 4.0),
     "cyrillic": (1.0, 6.0, 0.20, 3.0),
     "greek": (0.8, 5.0, 0.30, 3.0),
     "arabic": (0.7, 5.0, 0.40, 3.0),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from stackmill.llm import fertility, mixing
+from stackmill.llm import fertility, langid, mixing, separators
 
 QUERIES = {
     "op1_fertility": fertility.op1,
+    "op3_separators": separators.op3,
     "op6_mixing": mixing.op6,
+    "op7_langid": langid.op7,
 }
 
 SQL = {
