@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from stackmill.llm import fertility, langid, mixing, separators
+from stackmill.llm import dartminhash, decontamination, fertility, langid, mixing, separators, toxicity
 
 QUERIES = {
     "op1_fertility": fertility.op1,
     "op3_separators": separators.op3,
+    "op4_toxicity": toxicity.op4,
+    "op5_dartminhash": dartminhash.op5,
     "op6_mixing": mixing.op6,
     "op7_langid": langid.op7,
+    "op10_decontamination": decontamination.op10,
 }
 
 SQL = {
     "op6_mixing": mixing.SQL,
+    "op10_decontamination": decontamination.SQL,
 }
