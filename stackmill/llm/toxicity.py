@@ -10,6 +10,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,7 +121,7 @@ class Lexicon:
         if len(self.known) > 500_000:
             self.known, self.hot = {}, set()
         get, lengths = self.entries.get, self.lengths
-        for w in words - self.known.keys():
+        for w in [w for w in words if w not in self.known]:
             found = get(w)
             if found is None:
                 for n in lengths:
@@ -313,3 +314,16 @@ def learned(spark, folder, docs: DataFrame | None = None) -> Model:
 def op4(spark, folder):
     found = score(documents(spark, folder), learned(spark, folder))
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("clauses").alias("n_clauses"))
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns. Null and empty texts stay."""
+
+    def run(batches):
+        grammar, w = Grammar(model.terminals), np.array(model.weights)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            x = np.array([features(*grammar.clauses(t or "")) for t in texts], float).reshape(-1, 3)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
