@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackmill.llm.common import chunks, documents, mix64, word_hashes
@@ -162,12 +162,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """``doc_id, class_id, n_links``: one row per row of ``docs`` (``doc_id, text``).
 
     ``class_id`` is the least id of the texts that links of Jaccard similarity ``similarity`` or more connect (sets of
-    five-word shingles); ``n_links`` counts the verified links of the row's set of shingles. Equal sets of shingles (exact
-    copies) share one representative, so a large group of copies costs one row per band. Within a band bucket every member
-    is compared with the bucket's least member; members that are already connected to it are not compared again, the others
-    get a leader of their own in the next round, until none is left. A member that missed a leader by a similarity from
-    which a link to one of the leader's members is still possible (by the triangle inequality of the Jaccard distance) is
-    compared with those. No bucket is capped and no bucket is expanded into all pairs.
+    five-word shingles); ``n_links`` counts the links of the row's set of shingles that were verified, which are those the
+    classes need. Equal sets of shingles (exact copies) share one representative, so a large group of copies costs one row
+    per band. No bucket is capped and none is expanded into all pairs; each step compares only texts that are not connected
+    yet: first every text with the most central member of one of its buckets, then with those of all its buckets. Members
+    of buckets that still hold several classes go through a prefix filter, which is exact: two sets this similar share one
+    of their rarest shingles, so a text whose rarest shingles are its own has no further link.
 
     A null or empty text has no shingles and is its own class, as is a row with a null id (null class). Rows that repeat an
     id are one document to the links. Other columns are ignored; an empty table gives an empty table.
@@ -175,55 +175,47 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     sketch = stored(sketches(docs), "sketches")
     known = sketch.where("key IS NOT NULL AND doc_id IS NOT NULL")
     heads = stored(known.groupBy("key").agg(F.min(F.struct("doc_id", "n", "bands")).alias("h")).select("key", F.col("h.doc_id").alias("id"), F.col("h.bands").alias("bands")), "heads")
-    member = heads.select("id", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").count().where("count > 1").select("bucket")
-    member = stored(member.join(shared, "bucket").distinct(), "members")
+    member = heads.select("id", F.explode("bands").alias("bucket")).distinct()
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    member = stored(member.join(sizes, "bucket"), "members")
+    central = member.groupBy("id").agg(F.sum("m").alias("central"))
+    member = stored(member.select("bucket", "id").join(central, "id"), "members")
+    led = member.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("id")).alias("back"))).alias("h")).select("bucket", "h.central", (-F.col("h.back")).alias("leader"))
+    led = stored(member.select("bucket", "id").join(led, "bucket"), "led")
     wanted = member.select(F.col("id").alias("__id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__id"), "left_semi")
     sets = stored(texts.mapInPandas(_sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
 
-    least = 1 - 2 * (1 - similarity)
-    checked = None
-    component = None
-    rest = member
-    first = True
-    while True:
-        leaders = rest.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("m")).where("m > 1").drop("m")
-        led = rest.join(leaders, "bucket").where("id <> leader")
-        if first:  # one comparison each connects most of a large group
-            pairs = led.groupBy(F.col("id").alias("a")).agg(F.min("leader").alias("b"))
-        else:
-            led = _apart(led, component, "id", "leader")
-            pairs = led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        made = stored(_verified(pairs, sets), "verified")
-        found = not made.isEmpty()
-        checked = made if checked is None else checked.unionByName(made)
-        if found:
-            component = components(checked.where(F.col("j") >= similarity).select("a", "b"))
-        if first:
-            first = False
-            if not found:
-                break
-            continue
-        left = stored(_apart(rest.join(leaders, "bucket").where("id <> leader"), component, "id", "leader").select("bucket", "id", "leader"), "left")
-        if left.isEmpty():
-            break
-        close = left.join(checked.where((F.col("j") >= least) & (F.col("j") < similarity)), (F.col("id") == F.col("a")) & (F.col("leader") == F.col("b"))).select("bucket", "id", "j")
-        mates = _apart(close.join(rest.select("bucket", F.col("id").alias("mate")), "bucket").where("id <> mate"), component, "id", "mate")
-        more = mates.select(F.greatest("id", "mate").alias("a"), F.least("id", "mate").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        made = stored(_verified(more, sets), "verified")
-        if not made.isEmpty():
-            checked = checked.unionByName(made)
-            component = components(checked.where(F.col("j") >= similarity).select("a", "b"))
-            left = stored(left, "left")
-        rest = left.select("bucket", "id")
-    named = heads.select("key", "id")
-    if component is None:
-        return sketch.select("doc_id", "key").join(named, "key", "left").select("doc_id", F.coalesce("id", "doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    links = checked.where(F.col("j") >= similarity)
+    pairs = led.where("id <> leader").groupBy(F.col("id").alias("a")).agg(F.max(F.struct("central", (-F.col("leader")).alias("back"))).alias("h")).select("a", (-F.col("h.back")).alias("b"))
+    checked = stored(_verified(pairs, sets), "verified")
+    component = components(checked.where(F.col("j") >= similarity).select("a", "b"))
+    pairs = _apart(led, component, "id", "leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    checked = checked.unionByName(stored(_verified(pairs.join(checked, ["a", "b"], "left_anti"), sets), "verified"))
+    component = components(checked.where(F.col("j") >= similarity).select("a", "b"))
+
+    classes = member.select("bucket", "id").join(component, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    mixed = classes.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+    open_ids = stored(classes.join(mixed, "bucket").select("id", "component").distinct(), "open")
+    shingle = open_ids.join(sets, "id").select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    common = shingle.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    # the rarest shingles come first; those of one text only fill the front of its prefix and join with nothing
+    rare = stored(shingle.join(common, "s").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("held")), "shared")
+    front = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - F.size("held"))
+    rare = rare.select("id", "component", "n", F.explode(F.when(front > 0, F.slice("held", F.lit(1), front.cast("int")))).alias("h")).select("id", "component", "n", F.col("h.s").alias("s"))
+    spread = rare.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("s")
+    rare = stored(rare.join(spread, "s"), "rare")
+    other = rare.select(F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), "s")
+    near = rare.join(other, "s").where((F.col("component") < F.col("c")) & (F.col("n") >= similarity * F.col("m")) & (F.col("m") >= similarity * F.col("n")))
+    pairs = near.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    checked = checked.unionByName(stored(_verified(pairs, sets), "verified"))
+
+    links = checked.where(F.col("j") >= similarity).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    component = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    classes = stored(named.join(component, "id", "left").join(degree, "id", "left").select("key", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
-    return sketch.select("doc_id", "key").join(classes, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    named = heads.select("key", "id").join(component, "id", "left").join(degree, "id", "left")
+    named = named.select("key", F.coalesce("component", "id").alias("class_id"), "n_links")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
+    return sketch.select("doc_id", "key").join(named, "key", "left").select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def _apart(rows: DataFrame, component: DataFrame | None, a: str, b: str) -> DataFrame:
@@ -238,3 +230,13 @@ def _apart(rows: DataFrame, component: DataFrame | None, a: str, b: str) -> Data
 
 def op5(spark, folder):
     return near_duplicates(documents(spark, folder))
+
+
+def one_per_class(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that represent their class (the least id), with all their columns. Rows without an id all stay;
+    of rows that repeat an id the one with the least text hash stays (nulls first)."""
+    heads = near_duplicates(docs, similarity).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(heads, F.col("doc_id") == F.col("__id"), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.struct(*docs.columns))
+    kept = kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return kept.unionByName(docs.where("doc_id IS NULL"))
