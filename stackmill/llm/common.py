@@ -73,14 +73,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash and start byte of every word of a byte string, without a Python step per word."""
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, start and end byte of every word of a byte string, without a Python step per word."""
     data = np.frombuffer(raw, np.uint8)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     table = mix64(np.arange(1, 257, dtype=np.uint64))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[data] * _powers(_BASE, len(data)), dtype=np.uint64)))
-    return mix64((sums[end] - sums[start]) * _powers(_BASE_INVERSE, len(data))[start]), start
+    return mix64((sums[end] - sums[start]) * _powers(_BASE_INVERSE, len(data))[start]), start, end
