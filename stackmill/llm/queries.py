@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from stackmill.llm import dartminhash, decontamination, fertility, langid, mixing, separators, toxicity
+from stackmill.llm import dartminhash, decontamination, fertility, langid, maxent, mixing, pii, separators, suffix_groups, toxicity
 
 QUERIES = {
     "op1_fertility": fertility.op1,
+    "op2_suffix_groups": suffix_groups.op2,
     "op3_separators": separators.op3,
     "op4_toxicity": toxicity.op4,
     "op5_dartminhash": dartminhash.op5,
     "op6_mixing": mixing.op6,
     "op7_langid": langid.op7,
+    "op8_pii": pii.op8,
+    "op9_maxent": maxent.op9,
     "op10_decontamination": decontamination.op10,
 }
 
