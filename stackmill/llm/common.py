@@ -84,3 +84,50 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     table = mix64(np.arange(1, 257, dtype=np.uint64))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[data] * _powers(_BASE, len(data)), dtype=np.uint64)))
     return mix64((sums[end] - sums[start]) * _powers(_BASE_INVERSE, len(data))[start]), start, end
+
+
+#: Bits of a filter of keys that travels with tasks (16 MB whatever the corpus), and its blocks.
+FILTER_BITS, FILTER_BLOCKS = 1 << 27, 1 << 10
+
+
+def _probe(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter, in one block."""
+    h = mix64(key ^ np.uint64(0x5EED))
+    inside = np.uint64(FILTER_BITS // FILTER_BLOCKS)
+    base = (h >> np.uint64(54)) * inside
+    return base + h % inside, base + (h >> np.uint64(20)) % inside
+
+
+def in_filter(field: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys may be in the filter: all that were put in, and few others while the filter is not full."""
+
+    def bit(x):
+        return field[(x >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (x & np.uint64(7))).astype(np.uint8) & 1
+
+    one, two = _probe(key)
+    return (bit(one) & bit(two)).astype(bool)
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size of a column ``key`` (long), made by the executors in blocks. It may only save work: what
+    it lets through has to be decided exactly."""
+    inside = FILTER_BITS // FILTER_BLOCKS
+
+    def bits(frames):
+        for frame in frames:
+            both = np.unique(np.concatenate(_probe(frame["key"].to_numpy().view(np.uint64))))
+            block = (both // np.uint64(inside)).astype(np.int64)
+            for k in np.unique(block):
+                field = np.zeros(inside, bool)
+                field[(both[block == k] % np.uint64(inside)).astype(np.int64)] = True
+                yield pd.DataFrame({"block": [k], "field": [np.packbits(field).tobytes()]})
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        field = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in frame["field"]])
+        return pd.DataFrame({"block": frame["block"][:1], "field": [field.tobytes()]})
+
+    schema = "block long, field binary"
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in keys.mapInPandas(bits, schema).groupBy("block").applyInPandas(join, schema).toLocalIterator():
+        out[r["block"] * inside // 8 : (r["block"] + 1) * inside // 8] = np.frombuffer(r["field"], np.uint8)
+    return out
