@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackmill.llm.common import chunks, documents, mix64, word_hashes
+from stackmill.llm.common import chunks, documents, in_filter, key_filter, mix64, word_hashes
 from stackmill.session import stored
 
 SHINGLE = 5
@@ -126,10 +126,19 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(_sketch, "doc_id long, key string, n long, bands array<long>")
 
 
-def _sets(frames):
-    for frame in frames:
-        for part, texts in chunks(frame):
-            yield pd.DataFrame({"id": part["doc_id"], "shingles": [shingles(t).view(np.int64) for t in texts]})
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, shingles`` of at least the documents in ``ids`` (``key``). A filter of fixed size keeps the other texts out of the
+    shuffle; the few it lets through join with nothing."""
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(ids))
+
+    def run(frames):
+        for frame in frames:
+            frame = frame[frame["doc_id"].notna()]
+            frame = frame[in_filter(sent.value, frame["doc_id"].to_numpy(np.int64).view(np.uint64))]
+            for part, texts in chunks(frame):
+                yield pd.DataFrame({"id": part["doc_id"], "shingles": [shingles(t).view(np.int64) for t in texts]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "id long, shingles array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -155,7 +164,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("j"))
+    j = pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("j"))
+    return j.groupBy("a", "b").agg(F.max("j").alias("j"))  # an id that repeats has several sets
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -182,9 +192,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     member = stored(member.select("bucket", "id").join(central, "id"), "members")
     led = member.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("id")).alias("back"))).alias("h")).select("bucket", "h.central", (-F.col("h.back")).alias("leader"))
     led = stored(member.select("bucket", "id").join(led, "bucket"), "led")
-    wanted = member.select(F.col("id").alias("__id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__id"), "left_semi")
-    sets = stored(texts.mapInPandas(_sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    sets = stored(shingle_sets(docs, member.select(F.col("id").alias("key"))), "sets")
 
     pairs = led.where("id <> leader").groupBy(F.col("id").alias("a")).agg(F.max(F.struct("central", (-F.col("leader")).alias("back"))).alias("h")).select("a", (-F.col("h.back")).alias("b"))
     checked = stored(_verified(pairs, sets), "verified")
@@ -196,16 +204,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     classes = member.select("bucket", "id").join(component, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = classes.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
     open_ids = stored(classes.join(mixed, "bucket").select("id", "component").distinct(), "open")
-    shingle = open_ids.join(sets, "id").select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    common = shingle.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    # the rarest shingles come first; those of one text only fill the front of its prefix and join with nothing
-    rare = stored(shingle.join(common, "s").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("held")), "shared")
+    # 32 bits of a shingle are enough here: a collision can only add a candidate
+    shingle = open_ids.join(sets, "id").select("id", "component", F.size("shingles").alias("n"), F.explode(F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).alias("s"))
+    common = shingle.groupBy("s").agg(F.count("*").alias("df"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("s", "df")
+    # what no other class holds comes first in the order and joins with nothing; then the rarest
+    held = shingle.select("id", "s").join(common, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("held"))
+    held = stored(held.join(open_ids.join(sets.select("id", F.size("shingles").alias("n")), "id"), "id"), "held")
     front = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - F.size("held"))
-    rare = rare.select("id", "component", "n", F.explode(F.when(front > 0, F.slice("held", F.lit(1), front.cast("int")))).alias("h")).select("id", "component", "n", F.col("h.s").alias("s"))
+    rare = held.where(front > 0).select("id", "component", "n", F.size("held").alias("most"), F.slice("held", F.lit(1), front.cast("int")).alias("front"))
+    rare = rare.select("*", F.posexplode("front").alias("at", "h")).select("id", "component", "n", "most", "h.s", F.slice(F.col("front.s"), F.lit(1), F.col("at")).alias("earlier"))
     spread = rare.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("s")
     rare = stored(rare.join(spread, "s"), "rare")
-    other = rare.select(F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), "s")
-    near = rare.join(other, "s").where((F.col("component") < F.col("c")) & (F.col("n") >= similarity * F.col("m")) & (F.col("m") >= similarity * F.col("n")))
+    other = rare.select(F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("most").alias("other_most"), F.col("earlier").alias("other_earlier"), "s")
+    # from their first common shingle on, two texts share at most what each still shares with other classes, and they need
+    # similarity / (1 + similarity) of the sum of their sizes
+    left = F.least(F.col("most") - F.size("earlier"), F.col("other_most") - F.size("other_earlier"))
+    enough = left >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
+    once = ~F.arrays_overlap("earlier", "other_earlier")  # only their first common shingle makes a pair
+    near = rare.join(other, "s").where((F.col("component") < F.col("c")) & enough & once)
     pairs = near.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
     checked = checked.unionByName(stored(_verified(pairs, sets), "verified"))
 
