@@ -125,7 +125,8 @@ SELECT id, (row_number() OVER (PARTITION BY id ORDER BY pos) - 1)::INT AS place,
 def drop_ranked_features(spark, folder):
     """Vectors without the first 24 features of the variance order."""
     rows = vectors(spark, folder)
-    order = S.top_features(S.feature_variance(rows), 64, digits=9)
+    width = rows.select(F.max(F.size("features"))).first()[0] or 0
+    order = S.top_features(S.feature_variance(rows), width, digits=9)
     kept = sorted(r["pos"] for r in X.drop_ranked(order, 24).collect())  # one row per feature
     picked = rows.select("id", arrays.keep_positions(F.col("features"), kept).alias("features"))
     return picked.select("id", F.posexplode_outer("features").alias("place", "x")).withColumn("x", F.round("x", 6))

@@ -99,16 +99,12 @@ def splits_from_status(df: DataFrame, pattern: str = r"^\d+_skf_\d+$") -> DataFr
 
 
 def audit(members: DataFrame, id_col: str = "id") -> DataFrame:
-    """Per seed: rows, rows validated other than once, and rows that are both train and validation in one split.
-
-    Folds are numbered 0..62, so that the folds of a row fit into one bit set.
-    """
-    per_row = members.groupBy("seed", id_col).agg(
-        F.count_if(F.col("role") == "validation").alias("times_validated"),
-        (F.count(F.lit(1)) - F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("fold"))))).alias(
-            "double_roles"
-        ),
+    """Per seed: rows, rows validated other than once, and rows that are both train and validation in one split. Any number
+    of folds."""
+    per_fold = members.groupBy("seed", id_col, "fold").agg(
+        F.count_if(F.col("role") == "validation").alias("validated"), (F.count(F.lit(1)) - 1).alias("double")
     )
+    per_row = per_fold.groupBy("seed", id_col).agg(F.sum("validated").alias("times_validated"), F.sum("double").alias("double_roles"))
     return per_row.groupBy("seed").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("times_validated") != 1).alias("n_not_once"),

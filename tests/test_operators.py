@@ -274,3 +274,11 @@ def test_partition_folders_prune(spark, tmp_path):
     kept = spark.read.parquet(path).filter("model = 'm1'")
     assert kept.count() == 5 and kept.select(F.input_file_name()).filter("input_file_name() not like '%model=m1%'").count() == 0
     assert "PartitionFilters: [isnotnull(model" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_audit_has_no_limit_of_folds(spark):
+    rows = [(i, 0, f, "validation" if i % 70 == f else "train") for i in range(140) for f in range(70)]
+    members = spark.createDataFrame(rows, "id long, seed int, fold int, role string")
+    assert splits.audit(members).collect() == [Row(seed=0, n_rows=140, n_not_once=0, n_leaked=0)]
+    twice = members.unionByName(spark.createDataFrame([(3, 0, 5, "validation")], members.schema))
+    assert splits.audit(twice).collect() == [Row(seed=0, n_rows=140, n_not_once=1, n_leaked=1)]
