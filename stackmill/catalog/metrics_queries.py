@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stackmill.catalog.inputs import METRIC_COLUMNS, MODELS, PRED, RUN_NAMES, predictions, sql_metrics, sql_rounded
@@ -280,9 +281,8 @@ SELECT model, {sql_rounded(['mcc', 'auc', 'accuracy'])}, row_number() OVER (ORDE
 def leaderboard(spark, folder):
     """Models by MCC, the best one marked."""
     vector = M.run_metrics(predictions(spark, folder), ["model"]).select("model", "mcc", "auc", "accuracy")
-    best = S.leaderboard(vector, "mcc", "model", 1).select(F.col("model").alias("best"))
-    marked = vector.join(F.broadcast(best), F.col("model") == F.col("best"), "left")
-    ordered = S.leaderboard(marked.withColumn("is_best", F.col("best").isNotNull()).drop("best"), "mcc", "model")
+    place = F.row_number().over(Window.orderBy(F.desc("mcc"), "model"))  # one row per model
+    ordered = S.leaderboard(vector.withColumn("is_best", place == 1), "mcc", "model")
     return rounded(ordered, ["mcc", "auc", "accuracy"])
 
 

@@ -44,7 +44,7 @@ def hashed_bits(words: Column, n_bits: int = 1024, max_n: int = 3) -> Column:
 
     def bits(w: Column) -> Column:
         every = F.concat(*[_grams(w, n) for n in range(1, max_n + 1)])
-        return F.array_sort(F.array_distinct(F.transform(every, lambda g: (hash_int(g) % n_bits).cast("int"))))
+        return F.array_sort(F.array_distinct(F.transform(F.array_distinct(every), lambda g: (hash_int(g) % n_bits).cast("int"))))
 
     # The one-element array binds the words to a lambda variable: they are split once per row, not once per gram.
     return F.get(F.transform(F.array(words), bits), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,15 +90,13 @@ def with_row_ids(df: DataFrame, order: Sequence[str], out: str = "row_id", prefi
         .sortWithinPartitions(*order)
         .withColumn("__m", F.monotonically_increasing_id())
     )
-    part, place = F.shiftrightunsigned("__m", 33), F.col("__m").bitwiseAND((1 << 33) - 1)
-    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).collect()  # one row per partition
-    start, offsets = 0, []
-    for row in sorted(counts, key=lambda r: r["__part"]):
-        offsets += [F.lit(row["__part"]), F.lit(start)]
-        start += row["__n"]
-    number = place + (F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0))
+    placed = placed.withColumn("__part", F.shiftrightunsigned("__m", 33))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    number = F.col("__m").bitwiseAND((1 << 33) - 1) + F.col("__start")
     value = number if prefix is None else F.concat(F.lit(prefix), number.cast("string"))
-    return placed.withColumn(out, value).drop("__m")
+    return placed.join(offsets, "__part").withColumn(out, value).drop("__m", "__part", "__start")
 
 
 def drop_ranked(ranks: DataFrame, n: int) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stackmill.operators.ranks import with_row
 
@@ -20,7 +21,8 @@ BASELINES = {
     "majority": {"mcc": 0.0, "auc": 0.5, "accuracy": 0.6},
     "published": {"mcc": 0.45, "auc": 0.80, "accuracy": 0.75},
 }
-MAX_CORRELATION_FEATURES = 1000
+#: Features of one block of products in a task.
+PRODUCT_BLOCK = 256
 
 
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
@@ -93,25 +95,45 @@ def data_quality(df: DataFrame, features: str = "features", label: str = "label"
     ).withColumn("is_valid", F.size("issues") == 0)
 
 
+def _products(centre: np.ndarray):
+    """Per batch and feature: the sums of its products with every block of features from its own on."""
+
+    def run(batches):
+        for batch in batches:
+            values = batch.column(0)
+            x = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), len(centre)) - centre
+            for low in range(0, len(centre), PRODUCT_BLOCK):
+                rows = x[:, low : low + PRODUCT_BLOCK].T
+                for start in range(low, len(centre), PRODUCT_BLOCK):
+                    sums = rows @ x[:, start : start + PRODUCT_BLOCK]
+                    features = np.arange(low, low + len(rows), dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(features), pa.array(np.full(len(rows), start, np.int32)), pa.array(list(sums), pa.list_(pa.float64()))],
+                        ["a", "start", "sums"],
+                    )
+
+    return run
+
+
 def feature_correlations(df: DataFrame, features: str = "features") -> DataFrame:
-    """Pearson r of every feature pair ``(a, b), a < b``. Refused from 1000 features on: the result has d*d/2 rows.
+    """Pearson r of every feature pair ``(a, b), a < b``, for any number of features; pairs with a constant feature and rows
+    without a vector are left out.
 
-    The rows are reduced on the executors to one d x d matrix, which is bounded by the guard.
+    Rows are reduced where they lie to sums of products per feature and block of features. A task holds one batch and one
+    block of sums, and the result stays distributed; only the means come to the driver.
     """
-    spark = df.sparkSession
-    schema = T.StructType(
-        [T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("r", T.DoubleType())]
-    )
-    vectors = df.select(array_to_vector(F.col(features)).alias("v"))
-    first = df.select(F.size(features)).first()
-    if first is None:
-        return spark.createDataFrame([], schema)
-    if first[0] >= MAX_CORRELATION_FEATURES:
-        raise ValueError(f"{first[0]} features: pairwise correlation is limited to fewer than {MAX_CORRELATION_FEATURES}")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    d = matrix.shape[0]
-    pairs = [(i, j, float(matrix[i, j])) for i in range(d) for j in range(i + 1, d) if matrix[i, j] == matrix[i, j]]
-    return spark.createDataFrame(pairs, schema)
+    rows = df.select(F.col(features).cast("array<double>").alias("x")).filter("x IS NOT NULL")
+    mean = rows.groupBy(F.lit("all")).agg(Summarizer.mean(array_to_vector(F.col("x"))).alias("m")).first()  # none without rows
+    centre = mean["m"].toArray() if mean else np.zeros(0)
+    parts = rows.mapInArrow(_products(centre), "a int, start int, sums array<double>")
+    total = vector_to_array(Summarizer.sum(array_to_vector(F.col("sums"))))
+    sums = parts.groupBy("a", "start").agg(total.alias("sums"))
+    pairs = sums.select("a", "start", F.posexplode("sums").alias("at", "s")).select("a", (F.col("start") + F.col("at")).alias("b"), "s")
+    own = pairs.filter("a = b AND s > 0").select("a", F.col("s").alias("ss"))
+    other = own.select(F.col("a").alias("b"), F.col("ss").alias("tt"))
+    r = F.col("s") / F.sqrt(F.col("ss")) / F.sqrt(F.col("tt"))
+    joined = pairs.filter("a < b").join(own, "a").join(other, "b")  # pairs of features, not of rows
+    return joined.select("a", "b", r.alias("r")).filter(~F.isnan("r"))
 
 
 def high_correlation(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:

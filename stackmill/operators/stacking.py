@@ -17,21 +17,16 @@ def run_name(model: str = "model", seed: str = "seed") -> Column:
     return F.concat_ws("_", F.col(model), F.col(seed).cast("string"))
 
 
-FEW_RUNS = 100
-
-
 def wide(
     pred: DataFrame, id_cols: Sequence[str], run: Column, runs: Sequence[str], prob: str = "prob",
     how: Callable[[Column], Column] = F.max,
 ) -> DataFrame:
     """One row per id, one probability column per named run: one shuffle instead of a join per run.
 
-    Several rows of a run are folded by ``how``. Few runs become conditional aggregates, which combine before the
-    shuffle; many runs become a pivot, whose generated code does not grow with their number.
+    Several rows of a run are folded by ``how``. The pivot folds map-side, and its generated code does not grow with the
+    number of runs.
     """
     named = pred.select(*id_cols, run.alias("__run"), prob)
-    if len(runs) <= FEW_RUNS:
-        return named.groupBy(*id_cols).agg(*[how(F.when(F.col("__run") == r, F.col(prob))).alias(r) for r in runs])
     return named.groupBy(*id_cols).pivot("__run", list(runs)).agg(how(F.col(prob)))
 
 

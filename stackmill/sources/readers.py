@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,33 +35,66 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str, unnamed
 
 
 def scan_titled_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV table with one title line above its header; all columns are read as text.
+    """A CSV table with one title record above its header; all columns are read as text.
 
-    Only the first two lines are looked at up front. The body is split and parsed on the executors; the title and the
-    header line are left out of it wherever a part file repeats them.
+    Records are parsed as CSV: commas, quotes and line ends inside quotes belong to the value. Up front only as many lines
+    are read as the title and the header take. A file may repeat them or not: its first record is left out if it is the
+    title, and the header if it is the first record or follows the title; a later row that looks alike is a row.
     """
-    lines = spark.read.text(path)
-    title, header = (row[0] for row in lines.head(2))
-    names = [n.strip().strip('"') for n in header.split(",")]
-    schema = ", ".join(f"`{n}` string" for n in names)
-    body = lines.filter((F.col("value") != title) & (F.col("value") != header) & (F.col("value") != ""))
-    return body.select(F.from_csv("value", schema).alias("r")).select("r.*")
+    lines, n = spark.read.text(path), 4
+    while True:
+        got = lines.head(n)
+        records = [r for r in csv.reader(row[0] + "\n" for row in got) if r]
+        if len(records) > 2 or len(got) < n:  # the header record has ended
+            break
+        n *= 2
+    title, names = records[0], [name.strip() for name in records[1]]
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    rows = spark.read.schema(schema).option("multiLine", True).option("escape", '"').csv(path)
+    columns = [F.col(f"`{name}`") for name in names]
+    placed = rows.select(*columns, F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__m"))
+    # a file with quoted line ends is read by one task anyway, so its order costs no more than its scan
+    placed = placed.withColumn("__n", F.row_number().over(Window.partitionBy("__file").orderBy("__m")))
+    is_title = (F.col("__n") == 1) & columns[0].eqNullSafe(F.lit(title[0]))
+    is_header = F.col("__n") <= 2
+    for column, name in zip(columns, names, strict=True):
+        is_header &= F.trim(column).eqNullSafe(F.lit(name))
+    return placed.filter(~is_title & ~is_header).select(*columns)
+
+
+def _line_end(spark: SparkSession, path: str) -> str:
+    first = spark.read.option("lineSep", "\n").text(path).head(1)
+    return "\r\n" if first and first[0][0].endswith("\r") else "\n"
 
 
 def scan_sdf(spark: SparkSession, path: str) -> DataFrame:
-    """One row per molecule record: its place-free content, title, atom and bond counts and named properties."""
-    raw = spark.read.option("lineSep", RECORD_END).text(path).filter(F.trim("value") != "")
-    lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
-    with_lines = raw.withColumn("lines", lines)
+    """One row per molecule record: its content, title, atom and bond counts and named properties.
+
+    Lines end in LF or CRLF, the same in all files of ``path``; a mixture is refused. ``record`` has LF. The value of a
+    property reaches to the next blank line; the values of a name that repeats are joined by a line end.
+    """
+    end = _line_end(spark, path)
+    raw = spark.read.option("lineSep", "$$$$" + end).text(path)
+    mixed = F.col("value").rlike(r"\n\$\$\$\$\r?\n")
+    whole = F.when(mixed, F.raise_error(F.lit("records with LF and with CRLF in one path"))).otherwise(
+        F.regexp_replace(F.replace("value", F.lit("\r"), F.lit("")), r"(^|\n)\$\$\$\$\s*$", "$1")
+    )
+    records = raw.select(whole.alias("record")).filter(F.trim(F.translate("record", "\n", "")) != "")
     counts_line = F.get(F.filter("lines", lambda s: s.contains("V2000")), F.lit(0))
-    names = F.regexp_extract_all("value", F.lit(r"(?m)^> +<([^>]+)>.*\n(.*)$"), F.lit(1))
-    values = F.regexp_extract_all("value", F.lit(r"(?m)^> +<([^>]+)>.*\n(.*)$"), F.lit(2))
-    return with_lines.select(
-        F.col("value").alias("record"),
+    item = F.lit(r"(?m)^>[^\n]*?<([^>\n]+)>[^\n]*\n((?:(?!>[^\n]*<)[^\n]++\n?+)*+)")
+    found = records.select(
+        "record",
+        F.split("record", "\n").alias("lines"),
+        F.regexp_extract_all("record", item, F.lit(1)).alias("names"),
+        F.transform(F.regexp_extract_all("record", item, F.lit(2)), lambda v: F.rtrim(v, F.lit("\n"))).alias("values"),
+    )
+    of_name = lambda n: F.array_join(F.filter("values", lambda v, i: F.get(F.col("names"), i) == n), "\n")
+    return found.select(
+        "record",
         F.trim(F.get("lines", F.lit(0))).alias("title"),
         F.trim(F.substring(counts_line, 1, 3)).try_cast("int").alias("n_atoms"),
         F.trim(F.substring(counts_line, 4, 3)).try_cast("int").alias("n_bonds"),
-        F.map_from_arrays(names, values).alias("properties"),
+        F.map_from_arrays(F.array_distinct("names"), F.transform(F.array_distinct("names"), of_name)).alias("properties"),
     )
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from stackmill.sources.readers import normalize_record
 
+TASKS_A_FILE = 16
+
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> str:
     writer = df.write.mode("overwrite")
@@ -22,10 +24,11 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "csv") -> str:
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("model", "role")) -> str:
     """One folder per model and role, so that a reader of one role lists and scans only that folder.
 
-    Rows are not gathered per folder: every task writes what it holds, and a folder with a third of all rows is
-    written by many tasks.
+    The rows of a folder are gathered from ``TASKS_A_FILE`` tasks at a time: one file per folder and that many tasks,
+    while a folder with a third of all rows is still written by many tasks.
     """
-    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    spread = df.withColumn("__part", F.floor(F.spark_partition_id() / TASKS_A_FILE))
+    spread.repartition(*by, "__part").drop("__part").write.mode("overwrite").partitionBy(*by).parquet(path)
     return path
 
 

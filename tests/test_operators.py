@@ -227,13 +227,16 @@ def test_top_fraction_keeps_at_least_one_and_the_later_tie(spark):
     assert got == {("a", 1), ("b", 2)}
 
 
-def test_wide_is_the_same_by_aggregates_and_by_pivot(spark, monkeypatch):
+def test_wide_has_one_column_per_run(spark):
     rows = [(i, m, i / 10 + j) for i in range(4) for j, m in enumerate("abc") if (i, m) != (2, "b")]
     df = spark.createDataFrame(rows, "id long, model string, prob double")
-    few = sorted(map(tuple, stacking.wide(df, ["id"], F.col("model"), list("abc")).collect()))
-    monkeypatch.setattr(stacking, "FEW_RUNS", 1)
-    many = sorted(map(tuple, stacking.wide(df, ["id"], F.col("model"), list("abc")).collect()))
-    assert few == many and few[2] == (2, 0.2, None, 2.2)
+    got = sorted(map(tuple, stacking.wide(df, ["id"], F.col("model"), list("abc")).collect()))
+    have = {(i, m): p for i, m, p in rows}
+    assert got == [(i, *[have.get((i, m)) for m in "abc"]) for i in range(4)] and got[2] == (2, 0.2, None, 2.2)
+    many = [f"r{j}" for j in range(150)]
+    wide = spark.range(3).select("id", F.explode(F.array(*map(F.lit, many))).alias("model"), F.lit(0.5).alias("prob"))
+    out = stacking.wide(wide, ["id"], F.col("model"), many)
+    assert out.columns == ["id", *many] and [r[150] for r in out.collect()] == [0.5] * 3
 
 
 def test_fingerprint_of_short_and_empty_texts(spark):
@@ -282,3 +285,44 @@ def test_audit_has_no_limit_of_folds(spark):
     assert splits.audit(members).collect() == [Row(seed=0, n_rows=140, n_not_once=0, n_leaked=0)]
     twice = members.unionByName(spark.createDataFrame([(3, 0, 5, "validation")], members.schema))
     assert splits.audit(twice).collect() == [Row(seed=0, n_rows=140, n_not_once=1, n_leaked=1)]
+
+
+def test_correlations_have_no_limit_of_features(spark):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(60, 1500))
+    x[:, 1400] = 2 * x[:, 3] + 1e-3 * x[:, 9]
+    x[:, 700] = 4.0
+    df = spark.createDataFrame([(row.tolist(),) for row in x] + [(None,)], "features array<double>")
+    pairs = quality.feature_correlations(df)
+    got = {(r["a"], r["b"]): r["r"] for r in quality.high_correlation(pairs, 0.9).collect()}
+    assert list(got) == [(3, 1400)] and abs(got[3, 1400] - np.corrcoef(x[:, 3], x[:, 1400])[0, 1]) < 1e-12
+    assert pairs.filter("a = 700 OR b = 700").count() == 0 and pairs.count() == 1499 * 1498 // 2
+    assert quality.feature_correlations(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_with_long_values_and_both_line_ends(spark, tmp_path, end):
+    first = ["", "prog", "  2  1  V2000", "atom", "M  END", ">  <Name>  (1) ", "line one", "line two", "", ">  <Empty>", "", ">  <Name>", "again", ""]
+    second = ["b", "prog", "  1  0  V2000", "atom", "M  END", ">  <Cost>", "5 $$$$ or less", ""]
+    text_ = "".join(end.join(r) + end + "$$$$" + end for r in (first, second, ["c", "prog", "  3  0  V2000", "M  END"]))
+    (tmp_path / "r.sdf").write_bytes(text_.encode())
+    got = sorted((r["title"], r["n_atoms"], r["properties"]) for r in readers.scan_sdf(spark, str(tmp_path)).collect())
+    assert got == [("", 2, {"Name": "line one\nline two\nagain", "Empty": ""}), ("b", 1, {"Cost": "5 $$$$ or less"}), ("c", 3, {})]
+
+
+def test_titled_lists_follow_csv(spark, tmp_path):
+    head = 'A list, with a "title"\n"a,b",c\n'
+    (tmp_path / "1.csv").write_text(head + '"x\ny",1\n"say ""so""",2\n"a,b",c\nplain,\n')
+    (tmp_path / "2.csv").write_text(head + "second,3\n")
+    (tmp_path / "3.csv").write_text("bare,4\n")
+    rows = readers.scan_titled_csv(spark, str(tmp_path))
+    assert rows.columns == ["a,b", "c"]
+    want = [("x\ny", "1"), ('say "so"', "2"), ("a,b", "c"), ("plain", None), ("second", "3"), ("bare", "4")]
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(want, key=str)
+
+
+def test_folders_get_few_files(spark, tmp_path):
+    df = spark.range(0, 4000, 1, 40).select("id", F.concat(F.lit("m"), F.col("id") % 3).alias("model"), F.lit("test").alias("role"))
+    path = writers.write_partitioned(df, str(tmp_path / "p"))
+    files = list((tmp_path / "p").rglob("*.parquet"))
+    assert spark.read.parquet(path).count() == 4000 and len(files) <= 9
