@@ -44,16 +44,17 @@ def _fit_query(kind, params):
     return run
 
 
+_NUMERIC, _RANKED = E.PROFILES["numeric"], E.PROFILES["ranked"]
 _FITS = {
-    "fit_lr": ("lr", E.SMALL["lr"], "Logistic regression with an L2 penalty."),
-    "fit_rf": ("rf", E.SMALL["rf"], "Random forest with balanced class weights."),
-    "fit_gbt_xgb": ("xgboost", E.SMALL["xgboost"], "Boosted trees with row sampling and a positive-class weight."),
-    "fit_gbt": ("gb", E.SMALL["gb"], "Gradient boosting."),
-    "fit_svm_rff": ("svm", E.SMALL["svm"], "Support vector machine with an RBF kernel by random features, calibrated."),
-    "fit_svm_poly": ("svm", {**E.SMALL["svm"], "kernel": "poly", "C": 0.1}, "Support vector machine with a cubic kernel, calibrated."),
-    "fit_svm_linear": ("svm", {**E.SMALL["svm"], "kernel": "linear"}, "Linear support vector machine, calibrated."),
-    "fit_mlp": ("mlp", E.SMALL["mlp"], "Multi-layer perceptron."),
-    "fit_dnn": ("dnn", {"hidden": E.DNN_HIDDEN, "max_iter": 30}, "Four hidden layers of 128 nodes."),
+    "fit_lr": ("lr", _NUMERIC["lr"], "Logistic regression with an L2 penalty."),
+    "fit_rf": ("rf", E.SMALL["rf"], "Random forest with balanced class weights; few trees."),
+    "fit_gbt_xgb": ("xgboost", E.SMALL["xgboost"], "Boosted trees with row sampling and a positive-class weight; few rounds."),
+    "fit_gbt": ("gb", E.SMALL["gb"], "Gradient boosting; few rounds."),
+    "fit_svm_rff": ("svm", _NUMERIC["svm"], "Support vector machine with an RBF kernel by random features, calibrated."),
+    "fit_svm_poly": ("svm", {**E.SMALL["svm"], "kernel": "poly", "C": 0.1}, "Support vector machine with a cubic kernel, calibrated; few rounds."),
+    "fit_svm_linear": ("svm", {**_NUMERIC["svm"], "kernel": "linear"}, "Linear support vector machine, calibrated."),
+    "fit_mlp": ("mlp", _RANKED["mlp"], "Multi-layer perceptron."),
+    "fit_dnn": ("dnn", {"hidden": E.DNN_HIDDEN, "max_iter": 100}, "Four hidden layers of 128 nodes."),
 }
 for _name, (_kind, _params, _about) in _FITS.items():
     _run = _fit_query(_kind, _params)
