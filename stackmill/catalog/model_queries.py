@@ -47,7 +47,7 @@ def _fit_query(kind, params):
 _NUMERIC, _RANKED = E.PROFILES["numeric"], E.PROFILES["ranked"]
 _FITS = {
     "fit_lr": ("lr", _NUMERIC["lr"], "Logistic regression with an L2 penalty."),
-    "fit_rf": ("rf", E.SMALL["rf"], "Random forest with balanced class weights; few trees."),
+    "fit_rf": ("rf", _NUMERIC["rf"], "Random forest with balanced class weights."),
     "fit_gbt_xgb": ("xgboost", E.SMALL["xgboost"], "Boosted trees with row sampling and a positive-class weight; few rounds."),
     "fit_gbt": ("gb", E.SMALL["gb"], "Gradient boosting; few rounds."),
     "fit_svm_rff": ("svm", _NUMERIC["svm"], "Support vector machine with an RBF kernel by random features, calibrated."),
