@@ -27,18 +27,18 @@ BASE = {
 #: A text without this has no match of the kind.
 HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-#: Candidates for added spans, each a kind of its own: values behind a name and an equals sign or colon, long runs of capitals
-#: and digits, numbers in groups, and spelled-out addresses.
+#: Candidates for added spans, each a kind of its own: values of any length behind a name and an equals sign or colon, with
+#: blanks and quotes around them, long runs of letters and digits, numbers in groups, and spelled-out addresses.
 CANDIDATES = {
-    "secret": r"(?i)(?<![A-Za-z0-9_])[A-Za-z_]{3,20}[=:]\x20?[A-Za-z0-9_./+-]{8,64}(?![A-Za-z0-9_./+-])",
-    "key": r"(?<![A-Za-z0-9])[A-Z0-9]{16,40}(?![A-Za-z0-9])",
+    "secret": r"(?<![\p{L}0-9_-])[\p{L}0-9_-]{3,}+[\x22\x27]?+[\x20\t]*+[=:][\x20\t]*+(?:\x22[^\x22\s]{8,}+\x22|\x27[^\x27\s]{8,}+\x27|[\x22\x27]?+[A-Za-z0-9_./+=~-]{8,}+)",
+    "key": r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+",
     "number": r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,5}\)?(?:[\x20.-][0-9]{2,6}){1,5}(?![0-9A-Za-z])",
     "spelled": r"(?i)(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]{1,63}\x20?(?:\[dot\]|\(dot\)|\.)\x20?[A-Za-z]{2,24}",
 }
 ORDER = (*BASE, *CANDIDATES)
 
-#: Words of the gazetteer and context labelers.
-SECRET_NAMES = "password|passwd|passphrase|pwd|secret|token|apikey|api_key|access_key|client_secret|kennwort|passwort|contraseña|clave|motdepasse"
+#: Words of the gazetteer and context labelers. A secret's name may stand anywhere in a longer one.
+SECRET_NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|kennwort|passwort|contraseña|clave|motdepasse"
 CONTEXT = "mail|contact|phone|telephone|tel|call|mobile|card|visa|iban|account|ssn|password|secret|key|login|user|address|telefon|konto|carte|compte|tarjeta|teléfono|cuenta"
 AGAINST = "version|isbn|issn|page|pages|vol|volume|figure|fig|table|chapter|section|doi|license|copyright|http|https|score|total|year"
 CONTEXT_REACH = 40
@@ -99,10 +99,10 @@ def _kept(kind: str) -> Column:
 LABELERS = {
     "strict": "CASE WHEN base THEN 1 ELSE 0 END",
     "checksum": "CASE WHEN base AND kind IN ('card', 'ip', 'phone') THEN 1 WHEN kind = 'number' THEN -1 ELSE 0 END",
-    "gazetteer": f"CASE WHEN kind = 'secret' THEN CASE WHEN lower(value) RLIKE '^({SECRET_NAMES})[=:]' THEN 1 ELSE -1 END WHEN kind = 'key' AND value RLIKE '^(AKIA|ASIA|GHP|SK)' THEN 1 WHEN kind = 'email' AND value RLIKE '[.](com|org|net|edu|gov|io|de|fr|es|uk)$' THEN 1 ELSE 0 END",
+    "gazetteer": f"CASE WHEN kind = 'secret' THEN CASE WHEN lower(value) RLIKE '^[^=:]*({SECRET_NAMES})' THEN 1 ELSE -1 END WHEN kind = 'key' AND value RLIKE '^(AKIA|ASIA|GHP|SK)' THEN 1 WHEN kind = 'email' AND value RLIKE '[.](com|org|net|edu|gov|io|de|fr|es|uk)$' THEN 1 ELSE 0 END",
     "context": f"CASE WHEN before RLIKE '(^|[^a-z])({CONTEXT})[^a-z]{{1,10}}$' THEN 1 WHEN before RLIKE '(^|[^a-z])({AGAINST})[^a-z]{{0,10}}$' THEN -1 ELSE 0 END",
     "shape": "CASE WHEN kind IN ('secret', 'key') THEN CASE WHEN value RLIKE '[0-9]' AND value RLIKE '[A-Za-z]' AND length(regexp_replace(value, '[^0-9]', '')) >= 3 THEN 1 ELSE -1 END WHEN kind = 'spelled' THEN 1 WHEN value RLIKE '^([0-9])\\\\1+$' THEN -1 ELSE 0 END",
-    "mixture": "CASE WHEN kind IN ('secret', 'key') THEN CASE WHEN value RLIKE '^[A-Za-z_]+[=:] ?[0-9.]+$' OR value RLIKE '^[0-9]+$' THEN -1 ELSE 1 END ELSE 0 END",
+    "mixture": "CASE WHEN kind = 'key' THEN CASE WHEN value RLIKE '[0-9]' AND value RLIKE '[A-Za-z]' THEN 1 ELSE -1 END WHEN kind = 'secret' THEN CASE WHEN value RLIKE '^[^=:]+[=:][^A-Za-z0-9]*[0-9.]+[^A-Za-z0-9]*$' THEN -1 ELSE 1 END ELSE 0 END",
 }
 
 
@@ -112,7 +112,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     read = read.select("doc_id", "text", *[_kept(k).alias(f"f_{k}") for k in BASE])
     wide = {
-        "secret": F.col("text").rlike("[=:]"), "key": F.col("text").rlike("[A-Z0-9]{16}"), "number": F.col("text").rlike(r"[0-9][\x20.-][0-9]"),
+        "secret": F.col("text").rlike("[=:]"), "key": F.col("text").rlike("[A-Za-z0-9]{16}"), "number": F.col("text").rlike(r"[0-9][\x20.-][0-9]"),
         "spelled": F.lower("text").rlike(r"[\[(]at[\])]"),
     }
     read = read.select("*", *[F.when(wide[k], spans(F.col("text"), p)).otherwise(_empty()).alias(f"f_{k}") for k, p in CANDIDATES.items()])

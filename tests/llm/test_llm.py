@@ -169,6 +169,28 @@ def test_pii_base_equals_regex(docs, rows, empty):
     assert "<email>" in masked[max(masked) - 1] and masked[0] is None and pii.find(empty).count() == 0
 
 
+def test_pii_secrets_of_every_writing(spark):
+    draw = random.Random(4)
+
+    def run(letters, n):
+        return "".join(draw.choice(letters) for _ in range(n - 4)) + "a1b2"
+
+    low, mixed = "0123456789abcdef", "0123456789abcdefghijkABCDEFGHIJK"
+    make = [
+        lambda: f'token = "{run(low, 40)}"', lambda: f"AWS_SECRET_ACCESS_KEY={run(mixed, 40)}", lambda: f"db-password : '{run(mixed, 20)}'",
+        lambda: f"token: {run(mixed, 60)}.{run(mixed, 90)}.{run(mixed, 43)}", lambda: f'{{"api_key":"{run(mixed, 24)}"}}', lambda: run(low, 64), lambda: run(mixed, 24).upper(),
+    ]
+    planted = [make[i % len(make)]() for i in range(70)]
+    texts = [f"plain words stand here, {p} and more of them." for p in planted] + [f"note: Donaudampfschifffahrtsgesellschaft {i}" for i in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in pii.masked(docs).collect()}
+    for i, p in enumerate(planted):
+        assert not any(x in masked[i] for x in re.findall("[A-Za-z0-9]{16,}", p)), (p, masked[i])
+    assert all(masked[i] == texts[i] for i in range(70, 570))
+    long = spark.createDataFrame([(0, "a" * 300_000), (1, "abc " + " " * 300_000 + "x"), (2, 'abc="' * 60_000)], "doc_id long, text string")
+    assert pii.candidates(long).count() == 3
+
+
 def test_maxent_base_score(docs, rows, empty):
     train = docs.where(maxent.fold(10) != 0)
     got = by_id(maxent.score(docs, maxent.fit(train)))
