@@ -87,13 +87,15 @@ def reported() -> Transducer:
 
 
 def targeted() -> Transducer:
-    """State 0: nothing yet, 1: a target, 2: an insult without target, 3: both. The pair weighs more, once per clause.
-    A threat counts only with a target: alone it leaves as an ordinary word."""
-    t = Transducer(4)
+    """State 0: nothing yet, 1: a target, 2: an insult without target, 3: both, 4: only threats. The pair weighs more, once
+    per clause. A threat counts only with a target or an insult in its clause, before or behind it: alone it leaves as an
+    ordinary word, and its weight waits on the arc for the word that makes it count."""
+    t = Transducer(5)
     t.arcs = {
         (0, TARGET): (1, OTHER, 0.0), (1, TARGET): (1, OTHER, 0.0), (2, TARGET): (3, OTHER, TARGETED), (3, TARGET): (3, OTHER, 0.0),
         (0, INSULT): (2, INSULT, 0.0), (1, INSULT): (3, INSULT, TARGETED), (2, INSULT): (2, INSULT, 0.0), (3, INSULT): (3, INSULT, 0.0),
-        (0, THREAT): (0, OTHER, 0.0), (1, THREAT): (3, THREAT, THREATENED), (2, THREAT): (2, THREAT, 0.0), (3, THREAT): (3, THREAT, 0.0),
+        (4, TARGET): (3, THREAT, THREATENED), (4, INSULT): (2, INSULT, 0.0), (4, THREAT): (4, OTHER, SEED_WEIGHT),
+        (0, THREAT): (4, OTHER, SEED_WEIGHT), (1, THREAT): (3, THREAT, THREATENED), (2, THREAT): (2, THREAT, 0.0), (3, THREAT): (3, THREAT, 0.0),
     }
     return t
 

@@ -105,6 +105,18 @@ def test_toxicity_learns_and_discounts(spark):
     assert toxicity.clean(docs, model).count() == 152
 
 
+def test_toxicity_threats_in_both_orders():
+    def weight(text):
+        found = toxicity.Grammar().clauses(text)[0]
+        return found[0][2] if found else None
+
+    assert weight("you i will kill") == weight("i will kill you") == weight("we will hurt them") == weight("je vais tuer ces gens") == 5.0
+    assert weight("you i will kill and burn") == weight("i will kill and burn you") == 9.0
+    assert weight("idiot i will kill") == weight("i will kill idiot") == 8.0
+    assert weight("i will not kill you") == 3.0 and weight("someone said kill you") == 3.0
+    assert weight("kill the process") is None and weight("kill the process. you are welcome") is None
+
+
 def test_near_duplicates_equal_brute_force(docs, rows, empty):
     sets = {}
     for i, t, *_ in rows:
