@@ -146,7 +146,7 @@ def train_ensemble(spark, folder):
 def validate_external(spark, folder):
     """A fitted model scored and assessed on the hold-out."""
     train, rest = _halves(spark, folder)
-    return _round(S.validate_external(E.fit("lr", train, E.SMALL["lr"]), rest.drop("is_holdout")))
+    return _round(S.validate_external(E.fit("lr", train, _NUMERIC["lr"]), rest.drop("is_holdout")))
 
 
 def _roles(spark, folder):
@@ -181,7 +181,7 @@ def predict(spark, folder):
 def model_roundtrip(spark, folder):
     """A model saved and loaded again: both score every row alike."""
     train, rest = _halves(spark, folder)
-    fitted = E.fit("rf", train, E.SMALL["rf"])
+    fitted = E.fit("rf", train, _NUMERIC["rf"])
     path = scratch_path(spark, "model")
     fitted.save(path)
     again = E.Fitted.load(spark, path)

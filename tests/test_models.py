@@ -147,3 +147,20 @@ def test_literal_scaler_equals_joined_scaler(spark):
     low, high = x.min(0), x.max(0)
     got = df.select(arrays.minmax(F.col("features"), arrays.literal(low), arrays.literal(high)).alias("f")).collect()
     assert np.array([r[0] for r in got]) == pytest.approx((x - low) / (high - low))
+
+
+@pytest.mark.parametrize(("name", "kind"), [("validate_external", "lr"), ("model_roundtrip", "rf")])
+def test_queries_fit_the_full_profile(monkeypatch, spark, rows, name, kind):
+    from stackmill.catalog import model_queries
+
+    used = []
+
+    def fit(kind, train, params):
+        used.append((kind, params))
+        raise InterruptedError
+
+    monkeypatch.setattr(model_queries, "_halves", lambda spark, folder: (rows, rows.withColumn("is_holdout", F.lit(1))))
+    monkeypatch.setattr(estimators, "fit", fit)
+    with pytest.raises(InterruptedError):
+        getattr(model_queries, name)(spark, "")
+    assert used == [(kind, estimators.PROFILES["numeric"][kind])]
