@@ -52,6 +52,32 @@ def chunks(frame: pd.DataFrame, column: str = "text", limit: int = CHUNK) -> Ite
         yield frame.iloc[start:], texts[start:]
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, characters: int) -> tuple[list[str], list[int]]:
+    """Texts and labels of a bounded sample, for a fit on the driver.
+
+    ``labels`` holds one ``label`` per ``doc_id``; null ids, labels and texts are left out. Labelled rows are taken in the order
+    of crc32(id), id, and md5(text), whatever the order of the files: the first ``rows`` of them, of which each one joins if its
+    text still fits into ``characters`` (a text that does not fit is left out, and shorter ones behind it may still join).
+    """
+    chosen = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "label", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    chosen = chosen.orderBy("h", "id").limit(rows)
+    found = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    found = found.select("h", "id", F.md5("text").alias("m"), "label", F.length("text").alias("n"), "text")
+    left, wanted = characters, {}
+    for r in found.drop("text").orderBy("h", "id", "m").limit(rows).collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            key = (r["h"], r["id"], r["m"])
+            wanted[key] = wanted.get(key, 0) + 1
+    if not wanted:
+        return [], []
+    keys = docs.sparkSession.createDataFrame([(k[1], k[2], n) for k, n in wanted.items()], "wid long, wm string, times long")
+    both = found.join(F.broadcast(keys), (F.col("id") == F.col("wid")) & (F.col("m") == F.col("wm"))).select("h", "id", "m", "times", "label", "text")
+    seen: dict[tuple, tuple] = {(r["h"], r["id"], r["m"]): (r["text"], r["label"], r["times"]) for r in both.toLocalIterator()}
+    out = [(t, y) for _, (t, y, times) in sorted(seen.items()) for _ in range(times)]
+    return [t for t, _ in out], [y for _, y in out]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers (multiply and shift rounds)."""
     x = x.astype(np.uint64, copy=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stackmill.llm import dartminhash, decontamination, fertility, langid, maxent, mixing, pii, separators, suffix_groups, toxicity
+from stackmill.llm import compression, dartminhash, decontamination, fertility, langid, maxent, mixing, periodic, pii, separators, suffix_groups, toxicity, whitening
 
 QUERIES = {
     "op1_fertility": fertility.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pii": pii.op8,
     "op9_maxent": maxent.op9,
     "op10_decontamination": decontamination.op10,
+    "op11_whitening": whitening.op11,
+    "op12_periodic": periodic.op12,
+    "op13_compression": compression.op13,
 }
 
 SQL = {

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackmill.llm.common import chunks, documents, fold
+from stackmill.llm.common import chunks, documents, fold, labelled_sample
 
 #: Bound of the labelled sample that terminals and weights are learned from: rows and characters in all.
 LABELLED = 8000
@@ -268,20 +268,9 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED, characters: int = MOST_CHARACTERS) -> Model:
-    """Learn terminals and weights from a bounded sample: the labelled rows with the smallest crc32 of their id, until ``rows``
-    or ``characters`` is reached. Several labels of an id count as toxic if one is; null labels and null texts are not used."""
-    chosen = (
-        labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").limit(rows).withColumnRenamed("doc_id", "__id")
-    )
-    sample = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    texts, truth, size = [], [], 0
-    for row in sample.select("text", "toxic").toLocalIterator():
-        size += len(row["text"])
-        if size > characters and texts:
-            break
-        texts.append(row["text"])
-        truth.append(row["toxic"])
+    """Learn terminals and weights from a bounded sample (``labelled_sample``: ``rows`` rows, ``characters`` in all). Several
+    labels of an id count as toxic if one is; null labels and null texts are not used."""
+    texts, truth = labelled_sample(docs, labels.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")), rows, characters)
     terminals = learn_terminals(texts, truth)
     grammar = Grammar(terminals)
     x = np.array([features(*grammar.clauses(t)) for t in texts], float).reshape(-1, 3)
