@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from stackmill.session import stored
+
 #: A word is a maximal run of anything but ASCII white space. ``bytes.split()`` cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,14 +55,15 @@ def chunks(frame: pd.DataFrame, column: str = "text", limit: int = CHUNK) -> Ite
         yield frame.iloc[start:], texts[start:]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, characters: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of a bounded sample, for a fit on the driver.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, characters: int) -> DataFrame:
+    """``text, label, place``: a bounded sample for a fit.
 
     ``labels`` holds one ``label`` per ``doc_id``; null ids, labels and texts are left out. Labelled rows are taken in the order
     of crc32(id), id, and md5(text), whatever the order of the files: the first ``rows`` of them, of which each one joins if its
-    text still fits into ``characters`` (a text that does not fit is left out, and shorter ones behind it may still join).
+    text still fits into ``characters`` (a text that does not fit is left out, and shorter ones behind it may still join). Only
+    ids and lengths are read by the driver, ``rows`` of them at most.
     """
-    chosen = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "label", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    chosen = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("id"), "label", F.crc32(F.col("doc_id").cast("string")).alias("h"))
     chosen = chosen.orderBy("h", "id").limit(rows)
     found = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
     found = found.select("h", "id", F.md5("text").alias("m"), "label", F.length("text").alias("n"), "text")
@@ -67,15 +71,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, characters: i
     for r in found.drop("text").orderBy("h", "id", "m").limit(rows).collect():
         if r["n"] <= left:
             left -= r["n"]
-            key = (r["h"], r["id"], r["m"])
-            wanted[key] = wanted.get(key, 0) + 1
-    if not wanted:
-        return [], []
-    keys = docs.sparkSession.createDataFrame([(k[1], k[2], n) for k, n in wanted.items()], "wid long, wm string, times long")
-    both = found.join(F.broadcast(keys), (F.col("id") == F.col("wid")) & (F.col("m") == F.col("wm"))).select("h", "id", "m", "times", "label", "text")
-    seen: dict[tuple, tuple] = {(r["h"], r["id"], r["m"]): (r["text"], r["label"], r["times"]) for r in both.toLocalIterator()}
-    out = [(t, y) for _, (t, y, times) in sorted(seen.items()) for _ in range(times)]
-    return [t for t, _ in out], [y for _, y in out]
+            wanted.setdefault((r["id"], r["m"]), len(wanted))  # a repeated row counts once
+    keys = docs.sparkSession.createDataFrame([(i, m, k) for (i, m), k in wanted.items()], "wid long, wm string, place long")
+    both = found.join(F.broadcast(keys), (F.col("id") == F.col("wid")) & (F.col("m") == F.col("wm")))
+    return both.groupBy("place").agg(F.min(F.struct("text", "label")).alias("r")).select("r.text", "r.label", "place")
+
+
+def fitted(sample: DataFrame, train: Callable[[list[str], list], tuple]) -> tuple:
+    """What ``train(texts, labels)`` makes of a bounded sample (``text, label, place``), run by one task of the executors, so
+    that neither the texts nor the work of the fit stay with the driver. ``train`` gives a tuple of built-in values."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("place")
+        return pd.DataFrame({"model": [pickle.dumps(train(frame["text"].tolist(), frame["label"].tolist()))]})
+
+    found = sample.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "model binary").first()
+    return pickle.loads(bytes(found["model"])) if found else train([], [])
+
+
+def counted(df: DataFrame, name: str, *more: Column) -> tuple[DataFrame, dict]:
+    """``df`` written to the shared folder and read back, and what the same job counted: ``rows``, and more aggregates."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("rows"), *more), name)
+    return out, seen.get
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

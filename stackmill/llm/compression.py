@@ -5,13 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackmill.llm.common import documents, fold, labelled_sample
+from stackmill.llm.common import documents, fitted, fold, labelled_sample
 
 #: Bound of the labelled sample: rows, and characters in all.
 LABELLED = 8000
@@ -88,8 +87,8 @@ def _design(found: list[tuple[float, float]]) -> np.ndarray:
     return np.array(found, float).reshape(-1, 2)
 
 
-def train(texts: list[str], labels: list[int]) -> Model:
-    """Two halves of the texts take turns: dictionaries of one half give the sizes of the other, which calibrate the score;
+def train(texts: list[str], labels: list[int]) -> tuple[bytes, bytes, tuple[float, ...]]:
+    """Dictionaries of good and of bad text, and the calibration. Two halves of the texts take turns: dictionaries of one half give the sizes of the other, which calibrate the score;
     the dictionaries of the model then hold both halves. So no text is measured with a dictionary that has seen it, and
     copies of a text count once, or else the halves would share them."""
     seen: dict[bytes, int] = {}
@@ -106,14 +105,14 @@ def train(texts: list[str], labels: list[int]) -> Model:
         for i in range(part, len(raw), 2):
             x[i] = sizes.differences(raw[i])
     good, bad = both(range(len(raw)))
-    return Model(good, bad, calibrated(x, y.astype(float)))
+    return good, bad, calibrated(x, y.astype(float))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED, characters: int = MOST_CHARACTERS) -> Model:
     """Train on a bounded sample (``labelled_sample``) of ``docs`` (``doc_id, text``) with ``labels`` (``doc_id, quality``);
     several labels of an id count as good if all are. Null texts and labels are not learned from."""
-    texts, truth = labelled_sample(docs, labels.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")), rows, characters)
-    return train(texts, truth)
+    labelled = labels.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    return Model(*fitted(labelled_sample(docs, labelled, rows, characters), train))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackmill.llm.common import chunks, documents, fold, labelled_sample
+from stackmill.llm.common import chunks, documents, fitted, fold, labelled_sample
 
 #: Bound of the labelled sample that terminals and weights are learned from: rows and characters in all.
 LABELLED = 8000
@@ -267,14 +267,19 @@ class Model:
     weights: tuple[float, ...]
 
 
+def train(texts: list[str], labels: list[int]) -> tuple[dict[str, float], tuple[float, ...]]:
+    """Terminals and weights of the features learned from labelled texts."""
+    terminals = learn_terminals(texts, labels)
+    grammar = Grammar(terminals)
+    x = np.array([features(*grammar.clauses(t)) for t in texts], float).reshape(-1, 3)
+    return terminals, fit_logistic(x, np.array(labels, float))
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED, characters: int = MOST_CHARACTERS) -> Model:
     """Learn terminals and weights from a bounded sample (``labelled_sample``: ``rows`` rows, ``characters`` in all). Several
     labels of an id count as toxic if one is; null labels and null texts are not used."""
-    texts, truth = labelled_sample(docs, labels.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")), rows, characters)
-    terminals = learn_terminals(texts, truth)
-    grammar = Grammar(terminals)
-    x = np.array([features(*grammar.clauses(t)) for t in texts], float).reshape(-1, 3)
-    return Model(terminals, fit_logistic(x, np.array(truth, float)))
+    labelled = labels.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    return Model(*fitted(labelled_sample(docs, labelled, rows, characters), train))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

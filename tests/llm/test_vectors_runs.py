@@ -211,6 +211,7 @@ def test_compression_classifier(spark, tmp_path):
 def test_sample_does_not_follow_the_order_of_files(spark):
     rows = [(k, "x" * (900 if k == 11 else 10 + k), "", 0.0, k % 2) for k in range(60)]
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, label int")
-    one = labelled_sample(spark.createDataFrame(rows, LABELLED), labels, 40, 500)
-    two = labelled_sample(spark.createDataFrame(rows[::-1], LABELLED).repartition(5), labels, 40, 500)
-    assert one == two and 450 < sum(map(len, one[0])) <= 500 and len(one[0]) > 5
+    one = labelled_sample(spark.createDataFrame([*rows, rows[0]], LABELLED), labels, 40, 500).orderBy("place").collect()
+    two = labelled_sample(spark.createDataFrame(rows[::-1], LABELLED).repartition(5), labels, 40, 500).orderBy("place").collect()
+    assert one == two and 450 < sum(len(r.text) for r in one) <= 500 and len(one) > 5
+    assert labelled_sample(spark.createDataFrame([], LABELLED), labels, 40, 500).collect() == []
