@@ -7,10 +7,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackmill.llm.common import chunks, documents, in_filter, key_filter, mix64, word_hashes
+from stackmill.llm.common import chunks, counted, documents, in_filter, key_filter, mix64, word_hashes
 from stackmill.session import stored
 
 SHINGLE = 5
@@ -22,8 +22,8 @@ COORDINATES, ROWS = 96, 4
 FLOOR = 1 / 16
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct hashes of the five-word windows; a text of one to four words is one window; no words, no windows."""
+def windows(text: str) -> np.ndarray:
+    """Sorted hashes of all five-word windows; a text of one to four words is one window; no words, no windows."""
     words = word_hashes(text.encode())[0]
     if not len(words):
         return np.zeros(0, np.uint64)
@@ -31,7 +31,20 @@ def shingles(text: str) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for k in range(min(SHINGLE, len(words))):
         out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
-    return np.unique(mix64(out))
+    return np.sort(mix64(out))
+
+
+def shingles(text: str, weighted: bool = False) -> np.ndarray:
+    """Distinct hashes of the five-word windows. ``weighted``: the n-th occurrence of a window is an element of its own, so that
+    the Jaccard similarity of these sets is the weighted one of the windows by their counts."""
+    out = windows(text)
+    if not len(out):
+        return out
+    first = np.flatnonzero(np.concatenate(([True], out[1:] != out[:-1])))
+    if not weighted:
+        return out[first]
+    nth = (np.arange(len(out)) - np.repeat(first, np.diff(np.append(first, len(out))))).astype(np.uint64)
+    return np.where(nth > 0, mix64(out + nth * np.uint64(0x632BE59BD9B4E019)), out)
 
 
 def _poisson(u: np.ndarray, mean: float) -> np.ndarray:
@@ -109,24 +122,26 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
-def _sketch(frames):
-    for frame in frames:
-        for part, texts in chunks(frame, limit=500_000):
-            sets = [shingles(t) for t in texts]
-            sizes = [len(s) for s in sets]
-            elements = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets)), sizes)
-            found = bands(signatures(elements, np.ones(len(elements)), owner, len(sets))).view(np.int64)
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(object), "key": keys, "n": sizes, "bands": list(found)})
+def sketches(docs: DataFrame, weighted: bool = True) -> DataFrame:
+    """``doc_id, key, n, bands``: a key of the windows and their weights, the sum of the weights, and the bands of the
+    signature. A window weighs as often as it occurs, or 1 if not ``weighted``."""
 
+    def run(frames):
+        for frame in frames:
+            for part, texts in chunks(frame, limit=500_000):
+                sets = [np.unique(windows(t), return_counts=True) for t in texts]
+                if not weighted:
+                    sets = [(e, np.ones(len(e), np.int64)) for e, _ in sets]
+                owner = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+                elements, weights = (np.concatenate(x) for x in zip(*sets, strict=True))
+                found = bands(signatures(elements, weights.astype(float), owner, len(sets))).view(np.int64)
+                keys = [hashlib.blake2b(e.tobytes() + w.tobytes(), digest_size=16).hexdigest() if len(e) else None for e, w in sets]
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(object), "key": keys, "n": [int(w.sum()) for _, w in sets], "bands": list(found)})
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, n, bands``: a key of the set of shingles, their number, and the bands of the unit-weight signature."""
-    return docs.select("doc_id", "text").mapInPandas(_sketch, "doc_id long, key string, n long, bands array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, key string, n long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, ids: DataFrame, weighted: bool = True) -> DataFrame:
     """``id, shingles`` of at least the documents in ``ids`` (``key``). A filter of fixed size keeps the other texts out of the
     shuffle; the few it lets through join with nothing."""
     sent = docs.sparkSession.sparkContext.broadcast(key_filter(ids))
@@ -136,27 +151,43 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             frame = frame[frame["doc_id"].notna()]
             frame = frame[in_filter(sent.value, frame["doc_id"].to_numpy(np.int64).view(np.uint64))]
             for part, texts in chunks(frame):
-                yield pd.DataFrame({"id": part["doc_id"], "shingles": [shingles(t).view(np.int64) for t in texts]})
+                yield pd.DataFrame({"id": part["doc_id"], "shingles": [shingles(t, weighted).view(np.int64) for t in texts]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "id long, shingles array<long>")
 
 
+#: Rows of a small table that one task of the next step reads.
+ROWS_A_TASK = 100_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` (least id reached) of every id in ``links`` (``a, b``), by alternating large-star and small-star
-    steps until the links are stars. All state stays in tables of the shared folder."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        edges = stored(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        mark = now
+    steps until the links are stars. All state stays in tables of the shared folder; the steps use as many tasks as the
+    links need, which the job that writes them counts, with the mark that tells when nothing changes any more."""
+    mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark")
+    edges, now = counted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links", mark)
+    before = None
+    while now["rows"] and now != before:
+        before, tasks = now, 1 + 2 * now["rows"] // ROWS_A_TASK
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").coalesce(tasks)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(tasks)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        edges, now = counted(small.where("u <> v").distinct().coalesce(tasks), "links", mark)
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, component`` when ``links`` (``a, b``) join components known so far. Only the new links are walked, between the
+    components they connect; a component's name is its least id, so the least name is the least id of what they form."""
+    left = known.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    right = known.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    between = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    roots = components(between)
+    renamed = known.join(roots.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
+    fresh = roots.join(known.select("id"), "id", "left_anti")
+    return stored(renamed.select("id", F.coalesce("root", "component").alias("component")).unionByName(fresh), "components")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -168,11 +199,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return j.groupBy("a", "b").agg(F.max("j").alias("j"))  # an id that repeats has several sets
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = True) -> DataFrame:
     """``doc_id, class_id, n_links``: one row per row of ``docs`` (``doc_id, text``).
 
-    ``class_id`` is the least id of the texts that links of Jaccard similarity ``similarity`` or more connect (sets of
-    five-word shingles); ``n_links`` counts the links of the row's set of shingles that were verified, which are those the
+    ``class_id`` is the least id of the texts that links of Jaccard similarity ``similarity`` or more connect (five-word
+    shingles, weighted by how often each occurs in its text, or plain sets if not ``weighted``); ``n_links`` counts the links of the row's set of shingles that were verified, which are those the
     classes need. Equal sets of shingles (exact copies) share one representative, so a large group of copies costs one row
     per band. No bucket is capped and none is expanded into all pairs; each step compares only texts that are not connected
     yet: first every text with the most central member of one of its buckets, then with those of all its buckets. Members
@@ -182,7 +213,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     A null or empty text has no shingles and is its own class, as is a row with a null id (null class). Rows that repeat an
     id are one document to the links. Other columns are ignored; an empty table gives an empty table.
     """
-    sketch = stored(sketches(docs), "sketches")
+    sketch = stored(sketches(docs, weighted), "sketches")
     known = sketch.where("key IS NOT NULL AND doc_id IS NOT NULL")
     heads = stored(known.groupBy("key").agg(F.min(F.struct("doc_id", "n", "bands")).alias("h")).select("key", F.col("h.doc_id").alias("id"), F.col("h.bands").alias("bands")), "heads")
     member = heads.select("id", F.explode("bands").alias("bucket")).distinct()
@@ -192,14 +223,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     member = stored(member.select("bucket", "id").join(central, "id"), "members")
     led = member.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("id")).alias("back"))).alias("h")).select("bucket", "h.central", (-F.col("h.back")).alias("leader"))
     led = stored(member.select("bucket", "id").join(led, "bucket"), "led")
-    sets = stored(shingle_sets(docs, member.select(F.col("id").alias("key"))), "sets")
+    sets = stored(shingle_sets(docs, member.select(F.col("id").alias("key")), weighted), "sets")
 
     pairs = led.where("id <> leader").groupBy(F.col("id").alias("a")).agg(F.max(F.struct("central", (-F.col("leader")).alias("back"))).alias("h")).select("a", (-F.col("h.back")).alias("b"))
     checked = stored(_verified(pairs, sets), "verified")
-    component = components(checked.where(F.col("j") >= similarity).select("a", "b"))
+    component = stored(components(checked.where(F.col("j") >= similarity).select("a", "b")), "components")
     pairs = _apart(led, component, "id", "leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    checked = checked.unionByName(stored(_verified(pairs.join(checked, ["a", "b"], "left_anti"), sets), "verified"))
-    component = components(checked.where(F.col("j") >= similarity).select("a", "b"))
+    more = stored(_verified(pairs.join(checked, ["a", "b"], "left_anti"), sets), "verified")
+    component = merged(component, more.where(F.col("j") >= similarity).select("a", "b"))
+    checked = checked.unionByName(more)
 
     classes = member.select("bucket", "id").join(component, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = classes.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
@@ -223,10 +255,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     once = ~F.arrays_overlap("earlier", "other_earlier")  # only their first common shingle makes a pair
     near = rare.join(other, "s").where((F.col("component") < F.col("c")) & enough & once)
     pairs = near.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-    checked = checked.unionByName(stored(_verified(pairs, sets), "verified"))
+    more = stored(_verified(pairs, sets), "verified")
+    component = merged(component, more.where(F.col("j") >= similarity).select("a", "b"))
+    checked = checked.unionByName(more)
 
     links = checked.where(F.col("j") >= similarity).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    component = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     named = heads.select("key", "id").join(component, "id", "left").join(degree, "id", "left")
     named = named.select("key", F.coalesce("component", "id").alias("class_id"), "n_links")
@@ -234,10 +267,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return sketch.select("doc_id", "key").join(named, "key", "left").select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def _apart(rows: DataFrame, component: DataFrame | None, a: str, b: str) -> DataFrame:
+def _apart(rows: DataFrame, component: DataFrame, a: str, b: str) -> DataFrame:
     """Rows whose two ids are not in one component yet."""
-    if component is None:
-        return rows
     left = component.select(F.col("id").alias("__a"), F.col("component").alias("__ca"))
     right = component.select(F.col("id").alias("__b"), F.col("component").alias("__cb"))
     joined = rows.join(left, F.col(a) == F.col("__a"), "left").join(right, F.col(b) == F.col("__b"), "left")
@@ -249,10 +280,11 @@ def op5(spark, folder):
 
 
 def one_per_class(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that represent their class (the least id), with all their columns. Rows without an id all stay;
-    of rows that repeat an id the one with the least text hash stays (nulls first)."""
-    heads = near_duplicates(docs, similarity).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(heads, F.col("doc_id") == F.col("__id"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.struct(*docs.columns))
-    kept = kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of ``docs`` that represent their class (the least id), with all their columns, whatever their names. Rows
+    without an id all stay; of rows that repeat an id the one with the least text hash stays (nulls first)."""
+    heads = near_duplicates(docs, similarity).where("doc_id = class_id").select(F.col("doc_id").alias("h")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.select("doc_id", F.struct(F.xxhash64("text").alias("hash"), row.alias("row")).alias("r"))
+    kept = kept.join(heads, F.col("doc_id") == F.col("h"), "left_semi")
+    first = kept.groupBy("doc_id").agg(F.min("r").alias("r")).select("r.row.*")
+    return first.unionByName(docs.where("doc_id IS NULL"))
