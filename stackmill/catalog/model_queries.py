@@ -48,8 +48,8 @@ _NUMERIC, _RANKED = E.PROFILES["numeric"], E.PROFILES["ranked"]
 _FITS = {
     "fit_lr": ("lr", _NUMERIC["lr"], "Logistic regression with an L2 penalty."),
     "fit_rf": ("rf", _NUMERIC["rf"], "Random forest with balanced class weights."),
-    "fit_gbt_xgb": ("xgboost", E.SMALL["xgboost"], "Boosted trees with row sampling and a positive-class weight; few rounds."),
-    "fit_gbt": ("gb", E.SMALL["gb"], "Gradient boosting; few rounds."),
+    "fit_gbt_xgb": ("xgboost", _NUMERIC["xgboost"], "Second-order boosted trees with row sampling and a positive-class weight."),
+    "fit_gbt": ("gb", _RANKED["gb"], "Gradient boosting on residuals with Newton leaves."),
     "fit_svm_rff": ("svm", _NUMERIC["svm"], "Support vector machine with an RBF kernel by random features, calibrated."),
     "fit_svm_poly": ("svm", {**E.SMALL["svm"], "kernel": "poly", "C": 0.1}, "Support vector machine with a cubic kernel, calibrated; few rounds."),
     "fit_svm_linear": ("svm", {**_NUMERIC["svm"], "kernel": "linear"}, "Linear support vector machine, calibrated."),

@@ -1,8 +1,7 @@
 """Base classifiers and meta-learners as ``pyspark.ml`` pipelines.
 
 Every fit takes a table ``label, features`` (and ``weight``) and returns a ``Fitted`` that adds ``prob`` to a table with
-``features``. Neural nets have neither dropout nor batch normalisation here, boosting is first-order, and kernels are
-approximated; the fixed parameters are those of the workload.
+``features``. Neural nets have neither dropout nor batch normalisation here, and kernels are approximated; the fixed parameters are those of the workload.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -27,6 +25,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackmill.plans.boosting import Boosted, fit_boosted
+
 # Classifier parameters per descriptor family.
 PROFILES: dict[str, dict[str, dict[str, Any]]] = {
     "numeric": {
@@ -119,7 +119,10 @@ class Fitted:
         spark.createDataFrame(row, "kind string, width int, inputs string").write.mode("overwrite").json(f"{path}/inputs")
 
     @classmethod
-    def load(cls, spark, path: str) -> Fitted:
+    def load(cls, spark, path: str) -> Fitted | Boosted:
+        """A saved model of any kind."""
+        if any(r["kind"] in ("xgboost", "gb") for r in spark.read.schema("kind string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path).collect()):
+            return Boosted.load(spark, path)
         row = spark.read.schema("kind string, width int, inputs string").json(f"{path}/inputs").first()
         return cls(row["kind"], PipelineModel.load(f"{path}/pipeline"), row["width"], json.loads(row["inputs"]))
 
@@ -154,13 +157,6 @@ def stages(kind: str, params: Mapping[str, Any], width: int, rows: float, seed:
                 featureSubsetStrategy=p.get("subset", "sqrt"), weightCol="weight", seed=seed, **io,
             )
         ]
-    if kind in ("xgboost", "gb"):
-        return [
-            GBTClassifier(
-                stepSize=p["step"], maxIter=p["trees"], maxDepth=p["depth"], subsamplingRate=p.get("subsample", 1.0),
-                weightCol="weight", seed=seed, **io,
-            )
-        ]
     if kind == "svm":
         svc = LinearSVC(
             regParam=_regularisation(p["C"], rows), maxIter=p.get("max_iter", 100), standardization=False, weightCol="weight"
@@ -213,8 +209,9 @@ def train_size(df: DataFrame) -> TrainSize:
     return TrainSize(row["d"] or 0, row["n0"], row["n1"], max((row["ss"] or 0.0) / cells - mean * mean, 1e-12))
 
 
-def fit(kind: str, train: DataFrame, params: Mapping[str, Any], seed: int = 1, size: TrainSize | None = None) -> Fitted:
-    """Fit one classifier on a table ``label, features``."""
+def fit(kind: str, train: DataFrame, params: Mapping[str, Any], seed: int = 1, size: TrainSize | None = None) -> Fitted | Boosted:
+    """Fit one classifier on a table ``label, features``. Boosted trees are our own (``boosting``): second-order for
+    ``xgboost``; for ``gb`` splits by squared residuals, Newton leaves and the log-odds of the labels as start."""
     size = size or train_size(train)
     w0, w1 = size.class_weights(params)
     rows = train.select(
@@ -222,6 +219,9 @@ def fit(kind: str, train: DataFrame, params: Mapping[str, Any], seed: int = 1, s
         F.when(F.col("label") == 1, F.lit(w1)).otherwise(F.lit(w0)).alias("weight"),
         "features",
     )
+    if kind in ("xgboost", "gb"):
+        extra = {"ridge": 0.0, "newton": False, "prior": True} if kind == "gb" else {}
+        return fit_boosted(kind, rows, {**extra, **params}, size.width, seed)
     inputs: dict[str, Any] = {}
     width = size.width
     if kind == "svm" and params["kernel"] == "rbf":
