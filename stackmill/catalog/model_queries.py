@@ -51,7 +51,7 @@ _FITS = {
     "fit_gbt_xgb": ("xgboost", _NUMERIC["xgboost"], "Second-order boosted trees with row sampling and a positive-class weight."),
     "fit_gbt": ("gb", _RANKED["gb"], "Gradient boosting on residuals with Newton leaves."),
     "fit_svm_rff": ("svm", _NUMERIC["svm"], "Support vector machine with an RBF kernel by random features, calibrated."),
-    "fit_svm_poly": ("svm", {**E.SMALL["svm"], "kernel": "poly", "C": 0.1}, "Support vector machine with a cubic kernel, calibrated; few rounds."),
+    "fit_svm_poly": ("svm", E.PROFILES["embedded"]["svm"], "Support vector machine with a cubic kernel of all features by tensor sketches, calibrated."),
     "fit_svm_linear": ("svm", {**_NUMERIC["svm"], "kernel": "linear"}, "Linear support vector machine, calibrated."),
     "fit_mlp": ("mlp", _RANKED["mlp"], "Multi-layer perceptron."),
     "fit_dnn": ("dnn", {"hidden": E.DNN_HIDDEN, "max_iter": 100}, "Four hidden layers of 128 nodes."),

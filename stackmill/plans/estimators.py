@@ -11,8 +11,6 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
@@ -20,11 +18,12 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA, PolynomialExpansion, VectorSlicer
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackmill.functions.kernels import MAPS, random_features
 from stackmill.plans.boosting import Boosted, fit_boosted
 
 # Classifier parameters per descriptor family.
@@ -46,7 +45,7 @@ PROFILES: dict[str, dict[str, dict[str, Any]]] = {
     "embedded": {
         "knn": {"k": 3},
         "lr": {"C": 1.0, "max_iter": 300, "balanced": True},
-        "svm": {"C": 0.1, "kernel": "poly", "balanced": True},
+        "svm": {"C": 0.1, "kernel": "poly", "offset": 0.0, "balanced": True},
         "rf": {"trees": 500, "depth": 5, "leaf": 5, "balanced": True, "subset": "log2"},
         "xgboost": {"step": 0.001, "trees": 700, "depth": 7, "subsample": 0.7, "positive_weight": 0.66},
     },
@@ -77,20 +76,6 @@ SMALL: dict[str, dict[str, Any]] = {
 MAX_DEPTH = 30
 
 
-def random_features(values: Column, width: int, n: int, gamma: float, seed: int) -> Column:
-    """cos(Wx + b) features whose inner products approximate exp(-gamma |x - y|^2). W and b follow from the seed."""
-
-    @F.pandas_udf("array<double>")
-    def project(x: pd.Series) -> pd.Series:
-        draw = np.random.default_rng(seed)
-        w = draw.normal(scale=np.sqrt(2.0 * gamma), size=(width, n))
-        b = draw.uniform(0.0, 2.0 * np.pi, size=n)
-        rows = np.array(x.tolist(), dtype=float).reshape(len(x), width)
-        return pd.Series(list(np.sqrt(2.0 / n) * np.cos(rows @ w + b)))
-
-    return project(values)
-
-
 @dataclass
 class Fitted:
     """A fitted pipeline, and what turns ``features`` into its input."""
@@ -103,7 +88,8 @@ class Fitted:
     def vector(self, df: DataFrame) -> DataFrame:
         values = F.col("features")
         if self.inputs:
-            values = random_features(values, self.width, **self.inputs)
+            given = dict(self.inputs)
+            values = MAPS[given.pop("kernel", "rbf")](values, self.width, **given)
         return df.withColumn("__x", array_to_vector(values))
 
     def score(self, df: DataFrame, prob: str = "prob") -> DataFrame:
@@ -161,10 +147,6 @@ def stages(kind: str, params: Mapping[str, Any], width: int, rows: float, seed:
         svc = LinearSVC(
             regParam=_regularisation(p["C"], rows), maxIter=p.get("max_iter", 100), standardization=False, weightCol="weight"
         )
-        if p["kernel"] == "poly":
-            reduce = PCA(k=min(20, width), inputCol="__x", outputCol="__pc")
-            expand = PolynomialExpansion(degree=3, inputCol="__pc", outputCol="__poly")
-            return [reduce, expand, *_platt(svc.setFeaturesCol("__poly").setLabelCol("label"))]
         return _platt(svc.setFeaturesCol("__x").setLabelCol("label"))
     if kind in ("mlp", "dnn", "meta"):
         return [
@@ -224,10 +206,13 @@ def fit(kind: str, train: DataFrame, params: Mapping[str, Any], seed: int = 1, s
         return fit_boosted(kind, rows, {**extra, **params}, size.width, seed)
     inputs: dict[str, Any] = {}
     width = size.width
-    if kind == "svm" and params["kernel"] == "rbf":
+    if kind == "svm" and params["kernel"] in MAPS:
         gamma = params.get("gamma", "scale")
         value = 1.0 / (size.width * size.variance) if gamma == "scale" else float(gamma)
-        inputs = {"n": int(params.get("n_features", 512)), "gamma": value, "seed": seed}
+        poly = params["kernel"] == "poly"
+        inputs = {"kernel": params["kernel"], "n": int(params.get("n_features", 1024 if poly else 512)), "gamma": value, "seed": seed}
+        if poly:
+            inputs["offset"] = float(params.get("offset", 1.0))
         width = inputs["n"]
     fitted = Fitted(kind, PipelineModel([]), size.width, inputs)
     total = size.negatives * w0 + size.positives * w1

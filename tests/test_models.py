@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackmill.catalog.inputs import labelled
-from stackmill.functions import arrays
+from stackmill.functions import arrays, kernels
 from stackmill.operators import metrics, splits
 from stackmill.plans import bank, estimators, stacking
 from stackmill.session import stored
@@ -49,6 +49,17 @@ def test_random_features_approximate_the_kernel(spark):
     assert np.abs(z @ z.T - np.exp(-0.2 * gap)).max() < 0.1
 
 
+def test_tensor_sketch_approximates_the_kernel(spark):
+    x = np.random.default_rng(3).normal(size=(12, 30)) / np.sqrt(30)
+    df = spark.createDataFrame([([float(v) for v in r],) for r in x] + [(None,), ([1.0],)], "features array<double>").coalesce(1)
+    for offset in (0.0, 1.0):
+        got = [r[0] for r in df.select(kernels.tensor_sketch(F.col("features"), 30, 8192, 0.7, 5, offset)).collect()]
+        assert got[12] is None and got[13] is None
+        z, exact = np.array(got[:12]), (0.7 * x @ x.T + offset) ** 3
+        scale = np.sqrt(np.outer(np.diag(exact), np.diag(exact)))
+        assert (np.abs(z @ z.T - exact) / scale).max() < 0.1
+
+
 @pytest.mark.parametrize("kind", ["lr", "rf", "xgboost", "gb", "svm", "mlp"])
 def test_fits_learn(spark, kind):
     df, _, _ = separable(spark)
