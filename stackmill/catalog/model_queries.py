@@ -54,7 +54,7 @@ _FITS = {
     "fit_svm_poly": ("svm", E.PROFILES["embedded"]["svm"], "Support vector machine with a cubic kernel of all features by tensor sketches, calibrated."),
     "fit_svm_linear": ("svm", {**_NUMERIC["svm"], "kernel": "linear"}, "Linear support vector machine, calibrated."),
     "fit_mlp": ("mlp", _RANKED["mlp"], "Multi-layer perceptron."),
-    "fit_dnn": ("dnn", {"hidden": E.DNN_HIDDEN, "max_iter": 100}, "Four hidden layers of 128 nodes."),
+    "fit_dnn": ("dnn", E.DNN, "Four hidden layers of 128 nodes with batch normalisation and dropout."),
 }
 for _name, (_kind, _params, _about) in _FITS.items():
     _run = _fit_query(_kind, _params)
@@ -62,9 +62,9 @@ for _name, (_kind, _params, _about) in _FITS.items():
     query(_name)(_run)
 
 
-def _meta(rows, hidden):
+def _meta(rows, shape):
     """Meta-learner on the rows before 1997, its probabilities for the later ones."""
-    stats, meta = S.fit_meta(rows.filter("year < 1997").select("id", "label", "features"), hidden, max_iter=60)
+    stats, meta = S.fit_meta(rows.filter("year < 1997").select("id", "label", "features"), shape)
     later = rows.filter("year >= 1997").select("id", "label", "features")
     return _scored(meta, S.standardized(later, stats))
 
@@ -79,21 +79,21 @@ def _meta_rows(spark, folder, vector):
 @query("fit_meta")
 def fit_meta(spark, folder):
     """Meta-learner with layers 64-32-16 on the base probabilities."""
-    return _meta(_meta_rows(spark, folder, F.col("probs")), E.META_HIDDEN["base"])
+    return _meta(_meta_rows(spark, folder, F.col("probs")), E.META["base"])
 
 
 @query("fit_meta_v2")
 def fit_meta_v2(spark, folder):
     """Meta-learner with layers 32-16 on probabilities and mechanistic columns."""
     vector = K.meta_vector_v2(F.col("probs"), F.concat("mech", "flags"))
-    return _meta(_meta_rows(spark, folder, vector), E.META_HIDDEN["v2"])
+    return _meta(_meta_rows(spark, folder, vector), E.META["v2"])
 
 
 @query("fit_meta_v3")
 def fit_meta_v3(spark, folder):
     """Meta-learner with layers 48-24-12 on probabilities, mechanistic, enzyme and flag columns and the interaction."""
     vector = K.meta_vector_v3(F.col("probs"), F.col("mech"), F.col("cyp"), F.col("flags"))
-    return _meta(_meta_rows(spark, folder, vector), E.META_HIDDEN["v3"])
+    return _meta(_meta_rows(spark, folder, vector), E.META["v3"])
 
 
 def _rows(spark, folder):
@@ -164,14 +164,14 @@ def base_bank(spark, folder):
 @query("train")
 def train(spark, folder):
     """End-to-end training: metrics of the base models and the stack on the hold-out."""
-    _, report = S.train(_rows(spark, folder), _small("knn", "lr", "rf"), seeds=[0], folds=3, max_iter=60)
+    _, report = S.train(_rows(spark, folder), _small("knn", "lr", "rf"), seeds=[0], folds=3)
     return _round(report)
 
 
 @query("predict")
 def predict(spark, folder):
     """End-to-end scoring of all documents with a saved and reloaded bundle."""
-    ensemble, _ = S.train(_rows(spark, folder), _small("lr", "rf"), seeds=[0], folds=3, max_iter=60)
+    ensemble, _ = S.train(_rows(spark, folder), _small("lr", "rf"), seeds=[0], folds=3)
     path = S.save(ensemble, scratch_path(spark, "bundle"), DESCRIPTOR_NAMES)
     rows = described(spark, folder).withColumnRenamed("doc_id", "id")
     return _round(S.predict(S.load(spark, path), rows))

@@ -10,7 +10,7 @@ fixed point, so sums do not depend on the order of rows or blocks.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from math import ceil, log
 from typing import Any
@@ -197,9 +197,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 _PARTS = (("label", np.float64), ("weight", np.float64), ("margin", np.float64))
 
 
-def _blocks(rows: DataFrame, edges: list[np.ndarray], start: float, n: int) -> DataFrame:
-    """Rows packed into blocks of at most ``BLOCK`` (``block, bins, label, weight, margin``), in the order of their values."""
-    d, size = len(edges), BLOCK
+def packed_blocks(rows: DataFrame, width: int, n: int, size: int, encode: Callable[[np.ndarray], bytes], start: float = 0.0) -> DataFrame:
+    """The ``n`` rows packed into blocks of at most ``size`` (``block, bins, label, weight, margin``), in the order of their
+    values; ``encode`` turns the matrix of a block into the bytes of ``bins``."""
 
     def pack(batches):
         base, held = TaskContext.get().partitionId() << 32, []
@@ -207,13 +207,12 @@ def _blocks(rows: DataFrame, edges: list[np.ndarray], start: float, n: int) -> D
         def block(parts):
             x, y, w = (np.concatenate(p) for p in zip(*parts, strict=True))
             order = np.lexsort([y, w, *x.T[::-1]])
-            b = binned(x[order], edges)
-            cells = [base, b.tobytes(), y[order].tobytes(), w[order].tobytes(), np.full(len(y), start).tobytes()]
+            cells = [base, encode(x[order]), y[order].tobytes(), w[order].tobytes(), np.full(len(y), start).tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], ["block", "bins", "label", "weight", "margin"])
 
         count = 0
         for b in batches:
-            part = (_matrix(b.column(2), d), b.column(0).to_numpy(), b.column(1).to_numpy())
+            part = (_matrix(b.column(2), width), b.column(0).to_numpy(), b.column(1).to_numpy())
             for a in range(0, b.num_rows, size):
                 piece = tuple(v[a : a + size] for v in part)
                 if held and count + len(piece[1]) > size:
@@ -398,7 +397,7 @@ def fit_boosted(kind: str, rows: DataFrame, params: Mapping[str, Any], width: in
     start = log(positive / (weight - positive)) if rules.prior and 0 < positive < weight else 0.0
     if not total["n"]:
         return flattened(kind, [Tree()], edges, start)
-    blocks = stored(_blocks(usable, edges, start, total["n"]), "boosting-blocks")
+    blocks = stored(packed_blocks(usable, width, total["n"], BLOCK, lambda x: binned(x, edges).tobytes(), start), "boosting-blocks")
     if total["n"] <= BLOCK:
 
         def whole(batches):

@@ -1,7 +1,7 @@
 """Base classifiers and meta-learners as ``pyspark.ml`` pipelines.
 
 Every fit takes a table ``label, features`` (and ``weight``) and returns a ``Fitted`` that adds ``prob`` to a table with
-``features``. Neural nets have neither dropout nor batch normalisation here, and kernels are approximated; the fixed parameters are those of the workload.
+``features``. Kernels are approximated; the fixed parameters are those of the workload.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from stackmill.functions.kernels import MAPS, random_features
 from stackmill.plans.boosting import Boosted, fit_boosted
+from stackmill.plans.nets import Net, fit_net
 
 # Classifier parameters per descriptor family.
 PROFILES: dict[str, dict[str, dict[str, Any]]] = {
@@ -59,9 +60,16 @@ PROFILES: dict[str, dict[str, dict[str, Any]]] = {
         "mlp": {"hidden": (128, 64), "max_iter": 500},
     },
 }
-# Hidden layers of the nets.
-DNN_HIDDEN = (128, 128, 128, 128)
-META_HIDDEN = {"base": (64, 32, 16), "v2": (32, 16), "v3": (48, 24, 12)}
+# The nets.
+DNN = {
+    "hidden": (128, 128, 128, 128), "activation": "tanh", "norm": (True,) * 4, "dropout": (0.2,) * 4, "l2": 0.001, "rate": 1e-4,
+    "epochs": 100, "batch": 8, "patience": 5,
+}
+META = {
+    "base": {"hidden": (64, 32, 16), "norm": (True, True, False), "dropout": (0.3, 0.2, 0.0), "epochs": 200, "patience": 20},
+    "v2": {"hidden": (32, 16), "dropout": (0.3, 0.2), "epochs": 300, "patience": 15},
+    "v3": {"hidden": (48, 24, 12), "dropout": (0.3, 0.2, 0.0), "epochs": 300, "patience": 15},
+}
 
 # A few rounds of everything, for small tables and tests.
 SMALL: dict[str, dict[str, Any]] = {
@@ -105,10 +113,14 @@ class Fitted:
         spark.createDataFrame(row, "kind string, width int, inputs string").write.mode("overwrite").json(f"{path}/inputs")
 
     @classmethod
-    def load(cls, spark, path: str) -> Fitted | Boosted:
+    def load(cls, spark, path: str) -> Fitted | Boosted | Net:
         """A saved model of any kind."""
-        if any(r["kind"] in ("xgboost", "gb") for r in spark.read.schema("kind string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path).collect()):
+        found = spark.read.schema("kind string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+        kinds = {r["kind"] for r in found.where("kind IS NOT NULL").collect()}
+        if kinds & {"xgboost", "gb"}:
             return Boosted.load(spark, path)
+        if kinds & {"dnn", "meta"}:
+            return Net.load(spark, path)
         row = spark.read.schema("kind string, width int, inputs string").json(f"{path}/inputs").first()
         return cls(row["kind"], PipelineModel.load(f"{path}/pipeline"), row["width"], json.loads(row["inputs"]))
 
@@ -148,7 +160,7 @@ def stages(kind: str, params: Mapping[str, Any], width: int, rows: float, seed:
             regParam=_regularisation(p["C"], rows), maxIter=p.get("max_iter", 100), standardization=False, weightCol="weight"
         )
         return _platt(svc.setFeaturesCol("__x").setLabelCol("label"))
-    if kind in ("mlp", "dnn", "meta"):
+    if kind == "mlp":
         return [
             MultilayerPerceptronClassifier(
                 layers=[width, *p["hidden"], 2], maxIter=p["max_iter"], seed=seed, blockSize=128, **io
@@ -191,7 +203,7 @@ def train_size(df: DataFrame) -> TrainSize:
     return TrainSize(row["d"] or 0, row["n0"], row["n1"], max((row["ss"] or 0.0) / cells - mean * mean, 1e-12))
 
 
-def fit(kind: str, train: DataFrame, params: Mapping[str, Any], seed: int = 1, size: TrainSize | None = None) -> Fitted | Boosted:
+def fit(kind: str, train: DataFrame, params: Mapping[str, Any], seed: int = 1, size: TrainSize | None = None) -> Fitted | Boosted | Net:
     """Fit one classifier on a table ``label, features``. Boosted trees are our own (``boosting``): second-order for
     ``xgboost``; for ``gb`` splits by squared residuals, Newton leaves and the log-odds of the labels as start."""
     size = size or train_size(train)
@@ -204,6 +216,8 @@ def fit(kind: str, train: DataFrame, params: Mapping[str, Any], seed: int = 1, s
     if kind in ("xgboost", "gb"):
         extra = {"ridge": 0.0, "newton": False, "prior": True} if kind == "gb" else {}
         return fit_boosted(kind, rows, {**extra, **params}, size.width, seed)
+    if kind in ("dnn", "meta"):
+        return fit_net(kind, rows, params, size.width, seed)
     inputs: dict[str, Any] = {}
     width = size.width
     if kind == "svm" and params["kernel"] in MAPS:

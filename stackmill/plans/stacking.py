@@ -21,7 +21,7 @@ from stackmill.functions import arrays, scores
 from stackmill.operators import metrics, neighbors, quality, scaling, selection, splits
 from stackmill.operators import stacking as stack
 from stackmill.plans.bank import Bank, run_bank
-from stackmill.plans.estimators import META_HIDDEN, Fitted, fit, random_features, stages, train_size
+from stackmill.plans.estimators import META, Fitted, fit, random_features, stages, train_size
 from stackmill.session import stored
 
 # Search grid per model type; the first value of each list is the default.
@@ -188,12 +188,13 @@ def standardized(df: DataFrame, stats: Any) -> DataFrame:
 
 
 def fit_meta(
-    meta_rows: DataFrame, hidden: Sequence[int] = META_HIDDEN["base"], max_iter: int = 200, linear: bool = False
+    meta_rows: DataFrame, shape: Mapping[str, Any] = META["base"], linear: bool = False
 ) -> tuple[Any, Fitted]:
-    """Standardise the meta features and fit the meta-learner. ``meta_rows``: id, label, features."""
+    """Standardise the meta features and fit the meta-learner. ``meta_rows``: id, label, features. The net stops early on a
+    part carved out of these rows, never on rows it is judged by."""
     stats = scaling.feature_stats(meta_rows).first()
     ready = standardized(meta_rows, stats)
-    params = {"C": 1.0, "max_iter": 100} if linear else {"hidden": tuple(hidden), "max_iter": max_iter}
+    params = {"C": 1.0, "max_iter": 100} if linear else shape
     return stats, fit("lr" if linear else "meta", ready, params, seed=42)
 
 
@@ -204,8 +205,8 @@ def train(
     folds: int = 5,
     holdout: float = 0.2,
     fraction: float = selection.TOP_FRACTION,
-    hidden: Sequence[int] = META_HIDDEN["base"],
-    max_iter: int = 200,
+    shape: Mapping[str, Any] = META["base"],
+    max_iter: int | None = None,
     linear: bool = False,
     parallelism: int = 8,
 ) -> tuple[Ensemble, DataFrame]:
@@ -225,7 +226,7 @@ def train(
     oof = stack.oof_mean(used.filter("role = 'fold_val'"), names)
     labels = bank.base.select("id", "label")
     meta_rows = stored(labels.join(oof, "id").select("id", "label", F.array(*names).alias("features")), "meta")
-    stats, meta = fit_meta(meta_rows, hidden, max_iter, linear)
+    stats, meta = fit_meta(meta_rows, shape if max_iter is None else {**shape, "epochs": max_iter}, linear)
 
     mean = stack.ensemble_mean(used.filter("role = 'test'"), ["id", "model", "y_true"])
     test = stack.wide(used.filter("role = 'test'"), ["id", "y_true"], F.col("model"), names, how=F.avg).select(
