@@ -267,7 +267,7 @@ def base_probabilities(ensemble: Ensemble, rows: DataFrame) -> DataFrame:
             found = neighbors.knn_join(ensemble.bank.scaled(rows, split), train_rows, ensemble.models["knn"]["k"])
             vote = neighbors.vote(found)
             votes = vote if votes is None else votes.unionByName(vote)
-        out = out.join(votes.groupBy("id").agg(F.avg("prob").alias("knn")), "id")
+        out = out.join(votes.groupBy("id").agg(F.avg("prob").alias("knn")), "id", "left")  # no row is lost for want of neighbours
     return out.select("id", F.array(*ensemble.models).alias("features"))
 
 
@@ -277,31 +277,60 @@ def predict(ensemble: Ensemble, rows: DataFrame) -> DataFrame:
     return ensemble.meta.score(ready).select("id", "prob", scores.threshold_class(F.col("prob")).alias("cls"))
 
 
+def _files(spark: SparkSession, path: str) -> dict[str, str]:
+    """sha256 of every file of a bundle but its training rows and its manifest, by the path inside the bundle."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{path}/{p}" for p in ("meta", "scalers", "selection", "state", "base")])
+    listed = [(r["path"], r["h"]) for r in found.select("path", F.sha2("content", 256).alias("h")).toLocalIterator()]
+    root = next(p for p, _ in listed if "/state/part-" in p).rpartition("/state/")[0]
+    return {p[len(root) + 1 :]: h for p, h in listed}
+
+
+def _rows_mark(rows: DataFrame) -> str:
+    """Number and order-free checksum of the training rows."""
+    r = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "label", "features").cast("decimal(38,0)")).alias("s")).first()
+    return f"{r['n']}:{r['s']}"
+
+
 def save(ensemble: Ensemble, path: str, names: Sequence[str]) -> str:
-    """Write the bundle: meta-learner, selection, scalers and feature names beside the base models' folders."""
-    spark = SparkSession.active()
+    """Write a bundle that stands alone: meta-learner, base models, selection, scalers, feature names, the training rows if
+    neighbours vote, and a manifest of the content hashes. It names no path outside itself and can be copied elsewhere."""
+    spark, bank = SparkSession.active(), ensemble.bank
     ensemble.meta.save(f"{path}/meta")
-    scalers = [(s, f, r["low"], r["high"], r["mean"], r["std"]) for (s, f), r in ensemble.bank.stats.items()]
+    scalers = [(s, f, r["low"], r["high"], r["mean"], r["std"]) for (s, f), r in bank.stats.items()]
     arrays_ddl = "low array<double>, high array<double>, mean array<double>, std array<double>"
     spark.createDataFrame(scalers, f"seed int, fold int, {arrays_ddl}").write.mode("overwrite").parquet(f"{path}/scalers")
     runs = [(m, s, f) for m, splits_ in ensemble.chosen.items() for s, f in splits_]
-    spark.createDataFrame(runs, "model string, seed int, fold int").write.mode("overwrite").parquet(f"{path}/selection")
+    selected = spark.createDataFrame(runs, "model string, seed int, fold int")
+    selected.write.mode("overwrite").parquet(f"{path}/selection")
+    selected.limit(0).write.mode("overwrite").parquet(f"{path}/base/none")  # the folder is there without any fitted base model
+    for model, seed, fold in runs:
+        if model != "knn":
+            Fitted.load(spark, bank.model_path(model, (seed, fold))).save(f"{path}/base/models/{model}-{seed}-{fold}")
+    rows = bank.base if "knn" in ensemble.chosen else bank.base.limit(0)
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
     state = {
-        "models": ensemble.models, "scaler": ensemble.bank.scaler, "bank": ensemble.bank.path, "names": list(names),
-        "mean": list(ensemble.meta_stats["mean"]), "std": list(ensemble.meta_stats["std"]),
+        "models": ensemble.models, "scaler": bank.scaler, "names": list(names), "mean": list(ensemble.meta_stats["mean"]),
+        "std": list(ensemble.meta_stats["std"]), "rows": _rows_mark(spark.read.parquet(f"{path}/rows")),
     }
-    ensemble.bank.base.write.mode("overwrite").parquet(f"{path}/rows")
     spark.createDataFrame([(json.dumps(state),)], "state string").write.mode("overwrite").parquet(f"{path}/state")
+    spark.createDataFrame(sorted(_files(spark, path).items()), "file string, sha256 string").write.mode("overwrite").parquet(f"{path}/manifest")
     return path
 
 
-def load(spark: SparkSession, path: str) -> Ensemble:
+def load(spark: SparkSession, path: str, verify: bool = True) -> Ensemble:
+    """Read a bundle from wherever it lies now. ``verify`` refuses one whose files or training rows are not those it was saved with."""
     state = json.loads(spark.read.parquet(f"{path}/state").first()["state"])
+    rows = spark.read.parquet(f"{path}/rows")
+    if verify:
+        listed, there = {r["file"]: r["sha256"] for r in spark.read.parquet(f"{path}/manifest").collect()}, _files(spark, path)
+        wrong = sorted(f for f in listed.keys() | there.keys() if listed.get(f) != there.get(f))
+        if wrong or _rows_mark(rows) != state["rows"]:
+            raise ValueError(f"the bundle {path} is not as it was saved: {', '.join(wrong) or 'rows'}")
     stats = {(r["seed"], r["fold"]): r for r in spark.read.parquet(f"{path}/scalers").collect()}
     chosen: dict[str, list[tuple[int, int]]] = {}
-    for r in spark.read.parquet(f"{path}/selection").collect():
+    for r in spark.read.parquet(f"{path}/selection").orderBy("model", "seed", "fold").collect():
         chosen.setdefault(r["model"], []).append((r["seed"], r["fold"]))
-    bank = Bank(state["bank"], state["scaler"], stats, spark.read.parquet(f"{path}/rows"))
+    bank = Bank(f"{path}/base", state["scaler"], stats, rows)
     meta_stats = {"mean": state["mean"], "std": state["std"]}
     return Ensemble(bank, state["models"], chosen, meta_stats, Fitted.load(spark, f"{path}/meta"))
 

@@ -1,5 +1,7 @@
 """Fits, banks and end-to-end plans."""
 
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +177,23 @@ def test_queries_fit_the_full_profile(monkeypatch, spark, rows, name, kind):
     with pytest.raises(InterruptedError):
         getattr(model_queries, name)(spark, "")
     assert used == [(kind, estimators.PROFILES["numeric"][kind])]
+
+
+def test_bundle_stands_alone(spark, rows, tmp_path):
+    models = {m: estimators.SMALL[m] for m in ("knn", "lr", "xgboost")}
+    ensemble, _ = stacking.train(rows, models, seeds=[0], folds=3, max_iter=5)
+    path = stacking.save(ensemble, str(tmp_path / "bundle"), ["a"])
+    copy = str(tmp_path / "elsewhere")
+    shutil.copytree(path, copy)
+    loaded = stacking.load(spark, copy)
+    assert loaded.bank.path.startswith(copy) and loaded.chosen == ensemble.chosen
+    new = rows.select("id", "features").limit(40)
+    first = {r.id: r.prob for r in stacking.predict(ensemble, new).collect()}
+    assert {r.id: r.prob for r in stacking.predict(loaded, new).collect()} == pytest.approx(first)
+    for p in (tmp_path / "bundle").rglob("*"):
+        assert p.is_dir() or ensemble.bank.path.rsplit("/", 1)[-1].encode() not in p.read_bytes()
+    extra = tmp_path / "elsewhere" / "base" / "models" / "extra"
+    extra.mkdir()
+    (extra / "part-0").write_bytes(b"x")
+    with pytest.raises(ValueError, match="part-0"):
+        stacking.load(spark, copy)
