@@ -16,6 +16,7 @@ WIDTH = 16
 ORDERS = (1, 2, 3, 4)
 #: Bound of the training sample: rows per language and characters in all, both drawn by hash of the id.
 ROWS_PER_LANGUAGE = 600
+LANGUAGES = 512
 MOST_CHARACTERS = 20_000_000
 UNKNOWN = "und"
 #: Predictions of lower calibrated confidence are marked rejected.
@@ -139,24 +140,29 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.
     return Model(languages, table.astype(np.float32), bias, temperature)
 
 
-def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, characters: int = MOST_CHARACTERS) -> Model | None:
+def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, characters: int = MOST_CHARACTERS, languages: int = LANGUAGES) -> Model | None:
     """Train on a bounded sample of ``docs`` (``doc_id, text, lang``): of each language the rows with the smallest md5 of
-    their id, and rows in that order until ``characters`` is reached. The bound keeps what the driver reads constant; a null
-    language or text is not learned from. Without a usable row there is no model."""
+    their id whose texts fit into an equal share of ``characters``; a language of longer texts only gives its shortest one.
+    So every language is learned and the driver reads a bounded number of texts. More than ``languages`` languages are
+    refused, not cut. A null language or text is not learned from. Without a usable row there is no model."""
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", F.md5(id_text()).alias("key"), F.length("text").alias("n"))
     # Hash prefixes thin the rows before any window sees them: expected rows per language stay a few times the bound.
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count")).limit(512).collect()}
+    counts = {r["lang"]: r for r in usable.groupBy("lang").agg(F.count("*").alias("rows"), F.min("n").alias("least")).limit(languages + 1).collect()}
     if not counts:
         return None
-    share = F.element_at(F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4 * rows_per_language / v)))]), F.col("lang"))
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} languages: pass a larger bound")
+    own = characters // len(counts)
+    table = docs.sparkSession.createDataFrame(
+        [(k, min(1.0, 4 * rows_per_language / v["rows"]), max(own, v["least"]), v["least"]) for k, v in counts.items()], "of string, share double, budget long, least long")
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    thin = usable.where(F.col("lang").isin(list(counts))).where(place < share)
-    ranked = thin.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("rn") <= rows_per_language)
-    texts, labels, size = [], [], 0
-    for row in ranked.orderBy("rn", "lang").select("text", "lang", "n").toLocalIterator():
-        size += row["n"]
-        if size > characters and texts:
-            break
+    thin = usable.join(F.broadcast(table), F.col("lang") == F.col("of")).where(F.col("n") <= F.col("budget"))
+    thin = thin.where((place < F.col("share")) | ((F.col("least") > own) & (F.col("n") == F.col("least"))))
+    by_key = Window.partitionBy("lang").orderBy("key", "text")
+    ranked = thin.withColumn("rn", F.row_number().over(by_key)).withColumn("size", F.sum("n").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.where((F.col("rn") <= rows_per_language) & (F.col("size") <= F.col("budget")))
+    texts, labels = [], []
+    for row in ranked.orderBy("rn", "lang").select("text", "lang").toLocalIterator():
         texts.append(row["text"])
         labels.append(row["lang"])
     return train(texts, labels)

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from stackmill.llm import compression, periodic, whitening
+from stackmill.llm import compression, langid, periodic, whitening
 from stackmill.llm.common import labelled_sample
 
 
@@ -215,3 +215,16 @@ def test_sample_does_not_follow_the_order_of_files(spark):
     two = labelled_sample(spark.createDataFrame(rows[::-1], LABELLED).repartition(5), labels, 40, 500).orderBy("place").collect()
     assert one == two and 450 < sum(len(r.text) for r in one) <= 500 and len(one) > 5
     assert labelled_sample(spark.createDataFrame([], LABELLED), labels, 40, 500).collect() == []
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, " ".join([f"q{k}zx{j}w" for j in range(30)]), f"l{k:03}") for k in range(530)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="512"):
+        langid.fit(docs)
+    few = docs.where("doc_id < 6")
+    assert len(langid.fit(docs.where("doc_id < 40"), languages=40).languages) == 40
+    long = spark.createDataFrame([(1000 + k, f"{'very' * 3} long " * 20000, "l900") for k in range(3)], docs.schema)
+    model = langid.fit(few.unionByName(long), characters=6000)
+    assert model.languages == [f"l{k:03}" for k in range(6)] + ["l900"]
+    assert langid.fit(docs.limit(0)) is None
