@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 
 import corpus_pipeline
-from stackmill.llm import dartminhash
+from stackmill.llm import dartminhash, decontamination
 
 DOCS = "doc_id long, text string, h string, r string, __n long, n_chars int, lang string, source string"
 
@@ -116,3 +117,44 @@ def test_pipeline(spark, tmp_path, full):
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     times = Counter(r.doc_id for r in mixed)
     assert set(times) <= kept and max(times.values()) <= 3
+
+
+@pytest.fixture(scope="module")
+def passages(spark):
+    """Documents and items of every length: whole, substituted and cut passages, repeated ids and rows, nulls."""
+    draw, prose = draws(21)
+    items = [(k, prose(n)) for k, n in enumerate([1, 2, 4, 5, 7, 10, 11, 13, 20, 60])]
+    items += [(20, items[8][1]), (21, None), (22, " . "), (None, prose(15)), (5, items[5][1])]
+    texts = [prose(30)] + [f"{prose(9)} {t}, {prose(6)}" for _, t in items if t]
+    for _, t in items:
+        w = (t or "").split()
+        for places in ((0,), (1, 3), (len(w) // 2, len(w) // 2 + 4), (0, 1, 2, 3)):
+            texts.append(prose(5) + " " + " ".join(prose(1) if k in places else x for k, x in enumerate(w)))
+    texts += [items[k][1].upper() for k in range(10)] + [items[9][1][:200], None, "", " ".join([items[4][1]] * 3000)]
+    rows = [row(k, t) for k, t in enumerate(texts)] + [row(3, texts[3]), row(None, texts[10])]
+    return spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+
+
+@pytest.mark.parametrize("most", [decontamination.MOST_BROADCAST, 0])
+def test_overlaps_equal_brute_force(passages, most):
+    """Both plans: items of every length, long texts, repeated rows and ids."""
+    docs, items = passages
+    tables = {"documents": docs.select("doc_id", "text").distinct().toPandas(), "benchmark": items.distinct().toPandas()}
+    db = duckdb.connect()
+    for name, frame in tables.items():
+        db.register(name, frame.astype({frame.columns[0]: "Int64"}))
+    want = sorted(map(str, db.sql(decontamination.overlaps_sql("documents")).fetchall()))
+    names = ["doc_id", "item_id", "equal_words", "overlap_words", "item_words", "doc_start"]
+    got = sorted(str(tuple(r)) for r in decontamination.overlaps(docs, items, most, least=1).select(names).collect())
+    assert got == want
+    assert {n for *_, n, _ in map(eval, got)} >= {1, 2, 4, 5, 7, 10, 11, 13, 20, 60}
+    assert decontamination.overlaps(docs, items, most).where("item_words < 5").count() == 0
+    assert decontamination.overlaps(docs.limit(0), items, most).count() == decontamination.overlaps(docs, items.limit(0), most).count() == 0
+
+
+def test_short_items_remove_whole_documents_only(spark):
+    items = spark.createDataFrame([(1, "the"), (2, "one two three four five"), (3, "a b")], "item_id long, text string")
+    rows = [(1, "the cat sat", 0), (2, "The.", 0), (3, "say one two three four five now", 0), (4, "one two three five", 0), (5, None, 0), (6, "", 0), (7, "a b", 0), (8, "b a b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __hit int")
+    kept = decontamination.without_overlap(docs, items)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 8]
