@@ -30,45 +30,48 @@ def _mapped(values: Column, width: int, made: Callable[[], Callable[[np.ndarray]
     return run(values)
 
 
-def random_features(values: Column, width: int, n: int, gamma: float, seed: int) -> Column:
+def fourier_map(width: int, n: int, gamma: float, seed: int) -> Callable[[np.ndarray], np.ndarray]:
     """cos(Wx + b) features whose inner products approximate exp(-gamma |x - y|^2)."""
+    draw = np.random.default_rng(seed)
+    w = draw.normal(scale=np.sqrt(2.0 * gamma), size=(width, n))
+    b = draw.uniform(0.0, 2.0 * np.pi, size=n)
+    return lambda x: np.sqrt(2.0 / n) * np.cos(x @ w + b)
 
-    def made():
-        draw = np.random.default_rng(seed)
-        w = draw.normal(scale=np.sqrt(2.0 * gamma), size=(width, n))
-        b = draw.uniform(0.0, 2.0 * np.pi, size=n)
-        return lambda x: np.sqrt(2.0 / n) * np.cos(x @ w + b)
-
-    return _mapped(values, width, made)
 
-
-def tensor_sketch(values: Column, width: int, n: int, gamma: float, seed: int, offset: float = 0.0, degree: int = 3) -> Column:
+def sketch_map(width: int, n: int, gamma: float, seed: int, offset: float = 0.0, degree: int = 3) -> Callable[[np.ndarray], np.ndarray]:
     """Sketches whose inner products approximate (gamma x.y + offset)^degree, of all features.
 
     The offset is one more feature. Each factor of the power gets a count sketch of its own (every feature adds, with a random
     sign, to one random cell); the sketch of the product is the circular convolution of the factors' sketches, a product in
     the Fourier domain. The expected inner product is the kernel, its deviation about kernel(x,x) kernel(y,y) / sqrt(n).
     """
+    draw = np.random.default_rng(seed)
+    cells = draw.integers(0, n, (degree, width + 1))
+    signs = draw.choice([-1.0, 1.0], (degree, width + 1))
 
-    def made():
-        draw = np.random.default_rng(seed)
-        cells = draw.integers(0, n, (degree, width + 1))
-        signs = draw.choice([-1.0, 1.0], (degree, width + 1))
+    def apply(x):
+        full = np.hstack([np.sqrt(gamma) * x, np.full((len(x), 1), np.sqrt(offset))])
+        product = np.ones((len(x), n // 2 + 1), complex)
+        for cell, sign in zip(cells, signs, strict=True):
+            place = np.zeros((width + 1, n))
+            place[np.arange(width + 1), cell] = sign
+            product *= np.fft.rfft(full @ place, axis=1)
+        # the transform's rounding goes, or a linear machine would scale up the cells that are 0 or constant
+        return np.round(np.fft.irfft(product, n, axis=1), 12) + 0.0
 
-        def apply(x):
-            full = np.hstack([np.sqrt(gamma) * x, np.full((len(x), 1), np.sqrt(offset))])
-            product = np.ones((len(x), n // 2 + 1), complex)
-            for cell, sign in zip(cells, signs, strict=True):
-                place = np.zeros((width + 1, n))
-                place[np.arange(width + 1), cell] = sign
-                product *= np.fft.rfft(full @ place, axis=1)
-            # the transform's rounding goes, or a linear machine would scale up the cells that are 0 or constant
-            return np.round(np.fft.irfft(product, n, axis=1), 12) + 0.0
+    return apply
 
-        return apply
 
-    return _mapped(values, width, made)
+def random_features(values: Column, width: int, n: int, gamma: float, seed: int) -> Column:
+    """``fourier_map`` of a column of vectors."""
+    return _mapped(values, width, lambda: fourier_map(width, n, gamma, seed))
+
+
+def tensor_sketch(values: Column, width: int, n: int, gamma: float, seed: int, offset: float = 0.0, degree: int = 3) -> Column:
+    """``sketch_map`` of a column of vectors."""
+    return _mapped(values, width, lambda: sketch_map(width, n, gamma, seed, offset, degree))
 
 
-#: The maps by the kernel they stand for.
+#: The maps by the kernel they stand for: of columns, and of matrices.
 MAPS = {"rbf": random_features, "poly": tensor_sketch}
+MATRIX_MAPS = {"rbf": fourier_map, "poly": sketch_map}

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from stackmill.functions import arrays, scores
 from stackmill.operators import metrics, neighbors, quality, scaling, selection, splits
 from stackmill.operators import stacking as stack
+from stackmill.plans import scoring
 from stackmill.plans.bank import Bank, run_bank
 from stackmill.plans.estimators import META, Fitted, fit, random_features, stages, train_size
 from stackmill.session import stored
@@ -237,37 +238,43 @@ def train(
     return Ensemble(bank, dict(models), chosen, stats, meta), metrics.run_metrics(everything, ["model"])
 
 
+def _neighbour_votes(ensemble: Ensemble, rows: DataFrame) -> DataFrame:
+    """id and the mean vote of all chosen neighbour runs: one join, grouped by run. Every run has its own training rows and
+    scaler, so both sides are spread over the runs by a table with one row of statistics per run."""
+    bank = ensemble.bank
+    place = {s: i for i, s in enumerate(sorted({s for s, _ in bank.stats}))}
+    lines = []
+    for k, (seed, fold) in enumerate(ensemble.chosen["knn"]):
+        shift, span = scoring.scale_of(bank.stats[seed, fold], bank.scaler)
+        lines.append((k, place[seed], fold, shift.tolist(), span.tolist()))
+    runs = rows.sparkSession.createDataFrame(lines, "run int, place int, fold int, shift array<double>, span array<double>")
+
+    def spread(df: DataFrame) -> DataFrame:
+        long = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(lines) - 1)))).join(F.broadcast(runs), "run")
+        return long.withColumn("features", arrays.standardize(F.col("features"), F.col("shift"), F.col("span"))).drop("shift", "span")
+
+    pool = bank.base.filter("role = 'train'").select("id", "label", "features", "fold_of")
+    train_rows = spread(pool).filter(F.get("fold_of", F.col("place")) != F.col("fold")).select("run", "id", "label", "features")
+    usable = rows.select("id", "features").filter(F.size("features") == len(lines[0][3]))
+    found = neighbors.knn_join(spread(usable).select("run", "id", "features"), train_rows, ensemble.models["knn"]["k"], groups=["run"])
+    return neighbors.vote(found, ["run"]).groupBy("id").agg(F.avg("prob").alias("knn"))
+
+
 def base_probabilities(ensemble: Ensemble, rows: DataFrame) -> DataFrame:
     """id and the mean probability of every base model as ``features``.
 
-    All fitted runs score a row in one narrow pass; only neighbour votes need a join.
+    All fitted runs score a row in one narrow pass, whatever their number (``scoring``); only neighbour votes need a join, one
+    for all runs. Rows whose vector is null or of another width keep null means.
     """
-    spark = rows.sparkSession
-    scored = rows.select("id", "features")
-    columns: dict[str, list[str]] = {}
-    for model, runs in ensemble.chosen.items():
-        if model == "knn":
-            continue
-        for split in runs:
-            name = f"__{model}_{split[0]}_{split[1]}"
-            fitted = Fitted.load(spark, ensemble.bank.model_path(model, split))
-            scaled = ensemble.bank.scaled(scored.withColumn("__raw", F.col("features")), split)
-            scored = fitted.score(scaled, name).withColumn("features", F.col("__raw")).drop("__raw")
-            columns.setdefault(model, []).append(name)
-    means = [
-        (sum(F.col(c) for c in columns[m]) / F.lit(float(len(columns[m])))).alias(m) for m in ensemble.models if m in columns
-    ]
-    out = scored.select("id", *means)
+    spark, bank = rows.sparkSession, ensemble.bank
+    runs = []
+    for model, chosen in ensemble.chosen.items():
+        for split in chosen if model != "knn" else ():
+            width, predictor = scoring.packed(spark, bank.model_path(model, split))
+            runs.append(scoring.Run(model, width, *scoring.scale_of(bank.stats[split], bank.scaler), predictor))
+    out = scoring.mean_probabilities(rows, runs)
     if "knn" in ensemble.chosen:
-        votes = None
-        place = {s: i for i, s in enumerate(sorted({s for s, _ in ensemble.bank.stats}))}
-        for split in ensemble.chosen["knn"]:
-            ready = ensemble.bank.scaled(ensemble.bank.base, split)
-            train_rows = ready.filter((F.col("role") == "train") & (F.get("fold_of", F.lit(place[split[0]])) != split[1]))
-            found = neighbors.knn_join(ensemble.bank.scaled(rows, split), train_rows, ensemble.models["knn"]["k"])
-            vote = neighbors.vote(found)
-            votes = vote if votes is None else votes.unionByName(vote)
-        out = out.join(votes.groupBy("id").agg(F.avg("prob").alias("knn")), "id", "left")  # no row is lost for want of neighbours
+        out = out.join(_neighbour_votes(ensemble, rows), "id", "left")  # no row is lost for want of neighbours
     return out.select("id", F.array(*ensemble.models).alias("features"))
 
 
