@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from stackmill.functions.kernels import MAPS, random_features
 from stackmill.plans.boosting import Boosted, fit_boosted
 from stackmill.plans.nets import Net, fit_net
+from stackmill.plans.shared import LinearFit
 
 # Classifier parameters per descriptor family.
 PROFILES: dict[str, dict[str, dict[str, Any]]] = {
@@ -113,7 +114,7 @@ class Fitted:
         spark.createDataFrame(row, "kind string, width int, inputs string").write.mode("overwrite").json(f"{path}/inputs")
 
     @classmethod
-    def load(cls, spark, path: str) -> Fitted | Boosted | Net:
+    def load(cls, spark, path: str) -> Fitted | Boosted | Net | LinearFit:
         """A saved model of any kind."""
         found = spark.read.schema("kind string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
         kinds = {r["kind"] for r in found.where("kind IS NOT NULL").collect()}
@@ -121,6 +122,8 @@ class Fitted:
             return Boosted.load(spark, path)
         if kinds & {"dnn", "meta"}:
             return Net.load(spark, path)
+        if "linear" in kinds:
+            return LinearFit.load(spark, path)
         row = spark.read.schema("kind string, width int, inputs string").json(f"{path}/inputs").first()
         return cls(row["kind"], PipelineModel.load(f"{path}/pipeline"), row["width"], json.loads(row["inputs"]))
 

@@ -21,7 +21,7 @@ from stackmill.functions import arrays, scores
 from stackmill.operators import metrics, neighbors, quality, scaling, selection, splits
 from stackmill.operators import stacking as stack
 from stackmill.plans import scoring
-from stackmill.plans.bank import Bank, run_bank
+from stackmill.plans.bank import Bank, run_bank, scale_of, votes_of_runs
 from stackmill.plans.estimators import META, Fitted, fit, random_features, stages, train_size
 from stackmill.session import stored
 
@@ -239,25 +239,12 @@ def train(
 
 
 def _neighbour_votes(ensemble: Ensemble, rows: DataFrame) -> DataFrame:
-    """id and the mean vote of all chosen neighbour runs: one join, grouped by run. Every run has its own training rows and
-    scaler, so both sides are spread over the runs by a table with one row of statistics per run."""
-    bank = ensemble.bank
+    """id and the mean vote of all chosen neighbour runs: one join, grouped by run."""
+    bank, p = ensemble.bank, ensemble.models["knn"]
     place = {s: i for i, s in enumerate(sorted({s for s, _ in bank.stats}))}
-    lines = []
-    for k, (seed, fold) in enumerate(ensemble.chosen["knn"]):
-        shift, span = scoring.scale_of(bank.stats[seed, fold], bank.scaler)
-        lines.append((k, place[seed], fold, shift.tolist(), span.tolist()))
-    runs = rows.sparkSession.createDataFrame(lines, "run int, place int, fold int, shift array<double>, span array<double>")
-
-    def spread(df: DataFrame) -> DataFrame:
-        long = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(lines) - 1)))).join(F.broadcast(runs), "run")
-        return long.withColumn("features", arrays.standardize(F.col("features"), F.col("shift"), F.col("span"))).drop("shift", "span")
-
-    pool = bank.base.filter("role = 'train'").select("id", "label", "features", "fold_of")
-    train_rows = spread(pool).filter(F.get("fold_of", F.col("place")) != F.col("fold")).select("run", "id", "label", "features")
-    usable = rows.select("id", "features").filter(F.size("features") == len(lines[0][3]))
-    found = neighbors.knn_join(spread(usable).select("run", "id", "features"), train_rows, ensemble.models["knn"]["k"], groups=["run"])
-    return neighbors.vote(found, ["run"]).groupBy("id").agg(F.avg("prob").alias("knn"))
+    pool, queries = bank.base.filter("role = 'train'"), rows.select("id", "features")
+    found = votes_of_runs(pool, queries, ensemble.chosen["knn"], place, bank.stats, bank.scaler, p["k"], p.get("metric", "euclidean"))
+    return neighbors.vote(found, ["run"], p.get("weights", "uniform")).groupBy("id").agg(F.avg("prob").alias("knn"))
 
 
 def base_probabilities(ensemble: Ensemble, rows: DataFrame) -> DataFrame:
@@ -271,7 +258,7 @@ def base_probabilities(ensemble: Ensemble, rows: DataFrame) -> DataFrame:
     for model, chosen in ensemble.chosen.items():
         for split in chosen if model != "knn" else ():
             width, predictor = scoring.packed(spark, bank.model_path(model, split))
-            runs.append(scoring.Run(model, width, *scoring.scale_of(bank.stats[split], bank.scaler), predictor))
+            runs.append(scoring.Run(model, width, *scale_of(bank.stats[split], bank.scaler), predictor))
     out = scoring.mean_probabilities(rows, runs)
     if "knn" in ensemble.chosen:
         out = out.join(_neighbour_votes(ensemble, rows), "id", "left")  # no row is lost for want of neighbours
