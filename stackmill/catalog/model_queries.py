@@ -104,6 +104,10 @@ def _small(*names):
     return {n: E.SMALL[n] for n in names}
 
 
+def _linear(*names):
+    return {n: _NUMERIC[n] for n in names}
+
+
 def _round(df):
     return df.withColumns({c: F.round(c, 6) for c, t in df.dtypes if t == "double"})
 
@@ -117,28 +121,27 @@ def train_model(spark, folder):
 
 @query("cross_validate")
 def cross_validate(spark, folder):
-    """Two repeats of three folds: mean and deviation of five scores per model."""
-    folds = S.cross_validate(_rows(spark, folder), _small("lr", "rf"), folds=3, repeats=2)
+    """Three repeats of five folds: mean and deviation of five scores per model."""
+    folds = S.cross_validate(_rows(spark, folder), {"lr": _NUMERIC["lr"], **_small("rf")})
     return _round(S.cv_summary(folds))
 
 
 @query("compare_models")
 def compare_models(spark, folder):
     """Three model types by cross-validated MCC."""
-    return _round(S.compare_models(_rows(spark, folder), _small("knn", "lr", "rf"), folds=3))
+    return _round(S.compare_models(_rows(spark, folder), {**_linear("knn", "lr"), **_small("rf")}))
 
 
 @query("hyper_search")
 def hyper_search(spark, folder):
     """Three regularisation strengths by cross-validated MCC."""
-    grid = {**S.GRID["logistic_regression"], "max_iter": [50]}
-    return _round(S.hyperparameter_search(_rows(spark, folder), "logistic_regression", grid, "grid", folds=3))
+    return _round(S.hyperparameter_search(_rows(spark, folder), "logistic_regression", method="grid"))
 
 
 @query("train_ensemble")
 def train_ensemble(spark, folder):
-    """Stacking with a logistic meta-learner: metrics per fold."""
-    folds, _, _ = S.train_ensemble(_rows(spark, folder), _small("rf", "xgboost", "svm", "lr"), folds=3)
+    """Stacking with a logistic meta-learner: nested metrics of five folds."""
+    folds, _, _ = S.train_ensemble(_rows(spark, folder), {**_small("rf", "xgboost"), **_linear("lr", "svm")})
     return _round(folds)
 
 
@@ -156,9 +159,12 @@ def _roles(spark, folder):
 
 @query("base_bank")
 def base_bank(spark, folder):
-    """Five kinds of base classifier on three folds: metrics of every run."""
-    bank = B.run_bank(_roles(spark, folder), _small("knn", "lr", "svm", "rf", "xgboost"), seeds=[0], folds=3)
-    return _round(M.run_metrics(bank.predictions(spark), ["model", "seed", "fold", "role"]))
+    """Five kinds of base classifier: metrics of every run. Neighbours, regressions and machines on 20 repeats of five folds with
+    their full parameters, trees on one repeat with small ones."""
+    rows = _roles(spark, folder)
+    pred = B.run_bank(rows, _linear("knn", "lr", "svm")).predictions(spark)
+    pred = pred.unionByName(B.run_bank(rows, _small("rf", "xgboost"), seeds=[0]).predictions(spark))
+    return _round(M.run_metrics(pred, ["model", "seed", "fold", "role"]))
 
 
 @query("train")

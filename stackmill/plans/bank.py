@@ -165,7 +165,7 @@ def run_bank(
 
     ``rows``: id, label, features and role ('train' rows are split; 'holdout' and 'test' rows are only scored). ``kinds``
     names the classifier of a model whose name does not. All logistic regressions and machines, of whatever parameters, are
-    fitted by shared passes over the rows (``shared``), neighbours vote by one join a model, and their Spark jobs do not grow
+    fitted by shared passes over the rows (``shared``), neighbours vote by one join a metric, and their Spark jobs do not grow
     with the splits; all other fits are independent jobs, submitted from a few threads. Every part leaves a mark of its rows,
     splits and parameters when it is done, so a restarted run with the same ``path`` skips what is done and nothing else.
     """
@@ -203,18 +203,20 @@ def run_bank(
                 fits[k].save(bank.model_path(m, runs[k][1:]))
             done(m, m)
 
-    def votes(name: str) -> None:
-        p = models[name]
-        found = votes_of_runs(base, base.select("id", "features", "fold_of"), all_splits, place, stats, scaler, p["k"], p.get("metric", "euclidean"))
-        probs = neighbors.vote(found, ["run"], p.get("weights", "uniform"))
+    def votes(metric: str, names: Sequence[str]) -> None:
+        most = max(models[m]["k"] for m in names)  # fewer neighbours are the first of more
+        found = votes_of_runs(base, base.select("id", "features", "fold_of"), all_splits, place, stats, scaler, most, metric)
+        found = found if len(names) == 1 else stored(found, "neighbours")
         runs = F.array(*[F.struct(F.lit(n).alias("run"), F.lit(s).alias("seed"), F.lit(f).alias("fold"), F.lit(place[s]).alias("place")) for n, (s, f) in enumerate(all_splits)])
         own = F.col("role") == "train"
         asked = base.withColumn("r", F.explode(runs)).filter(~own | (F.get("fold_of", F.col("r.place")) == F.col("r.fold"))).select(
             F.col("id").cast("bigint").alias("id"), F.when(own, F.lit("fold_val")).otherwise(F.col("role")).alias("role"),
             F.col("label").cast("int").alias("y_true"), "r.run", "r.seed", "r.fold",
         )
-        write_partitioned(asked.join(probs, ["run", "id"], "left").drop("run"), f"{path}/pred/model={name}", ["seed", "fold"])
-        done(name, name)
+        for m in names:
+            probs = neighbors.vote(found, ["run"], models[m].get("weights", "uniform"), models[m]["k"])
+            write_partitioned(asked.join(probs, ["run", "id"], "left").drop("run"), f"{path}/pred/model={m}", ["seed", "fold"])
+            done(m, m)
 
     def one(job: tuple[str, tuple[int, int]]) -> None:
         name, (seed, fold) = job
@@ -239,7 +241,11 @@ def run_bank(
 
     together = [m for m in models if kind_of[m] in ("lr", "svm") and missing(m, m)]
     parts = [lambda: linear(together)] if together else []
-    parts += [lambda m=m: votes(m) for m in models if kind_of[m] == "knn" and missing(m, m)]
+    metrics: dict[str, list[str]] = {}
+    for m in models:
+        if kind_of[m] == "knn" and missing(m, m):
+            metrics.setdefault(models[m].get("metric", "euclidean"), []).append(m)
+    parts += [lambda g=g: votes(*g) for g in metrics.items()]
     parts += [lambda j=(m, s): one(j) for m in models if kind_of[m] not in ("lr", "svm", "knn") for s in all_splits]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         list(pool.map(lambda part: part(), parts))

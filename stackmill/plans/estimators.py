@@ -27,6 +27,7 @@ from stackmill.functions.kernels import MAPS, random_features
 from stackmill.plans.boosting import Boosted, fit_boosted
 from stackmill.plans.nets import Net, fit_net
 from stackmill.plans.shared import LinearFit
+from stackmill.plans.votes import NeighbourFit
 
 # Classifier parameters per descriptor family.
 PROFILES: dict[str, dict[str, dict[str, Any]]] = {
@@ -114,7 +115,7 @@ class Fitted:
         spark.createDataFrame(row, "kind string, width int, inputs string").write.mode("overwrite").json(f"{path}/inputs")
 
     @classmethod
-    def load(cls, spark, path: str) -> Fitted | Boosted | Net | LinearFit:
+    def load(cls, spark, path: str) -> Fitted | Boosted | Net | LinearFit | NeighbourFit:
         """A saved model of any kind."""
         found = spark.read.schema("kind string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
         kinds = {r["kind"] for r in found.where("kind IS NOT NULL").collect()}
@@ -122,6 +123,8 @@ class Fitted:
             return Boosted.load(spark, path)
         if kinds & {"dnn", "meta"}:
             return Net.load(spark, path)
+        if "knn" in kinds:
+            return NeighbourFit.load(spark, path)
         if "linear" in kinds:
             return LinearFit.load(spark, path)
         row = spark.read.schema("kind string, width int, inputs string").json(f"{path}/inputs").first()
@@ -206,9 +209,11 @@ def train_size(df: DataFrame) -> TrainSize:
     return TrainSize(row["d"] or 0, row["n0"], row["n1"], max((row["ss"] or 0.0) / cells - mean * mean, 1e-12))
 
 
-def fit(kind: str, train: DataFrame, params: Mapping[str, Any], seed: int = 1, size: TrainSize | None = None) -> Fitted | Boosted | Net:
+def fit(kind: str, train: DataFrame, params: Mapping[str, Any], seed: int = 1, size: TrainSize | None = None) -> Fitted | Boosted | Net | NeighbourFit:
     """Fit one classifier on a table ``label, features``. Boosted trees are our own (``boosting``): second-order for
     ``xgboost``; for ``gb`` splits by squared residuals, Newton leaves and the log-odds of the labels as start."""
+    if kind == "knn":
+        return NeighbourFit.of(train, params)
     size = size or train_size(train)
     w0, w1 = size.class_weights(params)
     rows = train.select(

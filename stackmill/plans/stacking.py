@@ -10,10 +10,6 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +18,7 @@ from stackmill.operators import metrics, neighbors, quality, scaling, selection,
 from stackmill.operators import stacking as stack
 from stackmill.plans import scoring
 from stackmill.plans.bank import Bank, run_bank, scale_of, votes_of_runs
-from stackmill.plans.estimators import META, Fitted, fit, random_features, stages, train_size
+from stackmill.plans.estimators import META, Fitted, fit, train_size
 from stackmill.session import stored
 
 # Search grid per model type; the first value of each list is the default.
@@ -59,8 +55,8 @@ def spark_params(model_type: str, params: Mapping[str, Any], width: int) -> dict
 
 def train_model(train: DataFrame, model_type: str = "random_forest", params: Mapping[str, Any] | None = None) -> Fitted:
     """Fit one model type, with its default parameters unless others are given."""
-    if model_type not in GRID or model_type == "knn":
-        raise ValueError(f"unknown model type {model_type!r}; available: {sorted(set(GRID) - {'knn'})}")
+    if model_type not in GRID:
+        raise ValueError(f"unknown model type {model_type!r}; available: {sorted(GRID)}")
     size = train_size(train)
     chosen = spark_params(model_type, params or default_params(model_type), size.width)
     return fit(KIND[model_type], train, chosen, seed=SEARCH_SEED, size=size)
@@ -90,17 +86,6 @@ def compare_models(rows: DataFrame, models: Mapping[str, Mapping[str, Any]], fol
     return selection.leaderboard(board, "mcc", "model")
 
 
-class MccEvaluator(Evaluator):
-    """Matthews correlation of ``prediction`` against ``label``; larger is better."""
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        counts = metrics.confusion(dataset, y_true="label", y_pred="prediction")
-        return float(counts.select(scores.mcc()).first()[0])
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
 def grid_points(model_type: str, grid: Mapping[str, Sequence[Any]], method: str, n_iter: int) -> list[dict[str, Any]]:
     points = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
     if method == "random" and n_iter < len(points):
@@ -117,39 +102,23 @@ def hyperparameter_search(
     folds: int = 5,
     parallelism: int = 8,
 ) -> DataFrame:
-    """Mean MCC over stratified folds of every tried parameter set, best first. ``rows``: id, label, features."""
-    grid = grid or GRID[model_type]
-    points = grid_points(model_type, grid, method, n_iter)
-    split = splits.stratified_folds(rows.select("id", "label"), "id", "label", seeds=[SEARCH_SEED], folds=folds)
-    data = stored(rows.join(split.select("id", "fold"), "id"), "search")
-    size = train_size(data)
-    kind = KIND[model_type]
-    ready = data.select(
-        F.col("label").cast("double").alias("label"), "fold", "features", array_to_vector("features").alias("__x")
-    )
+    """Mean MCC over stratified folds of every tried parameter set, best first. ``rows``: id, label, features.
 
-    def tried(params: dict[str, Any]) -> tuple[str, float]:
-        chosen = spark_params(model_type, params, size.width)
-        w0, w1 = size.class_weights(chosen)
-        weighted = ready.withColumn("weight", F.when(F.col("label") == 1, F.lit(w1)).otherwise(F.lit(w0)))
-        width = size.width
-        if kind == "svm" and chosen["kernel"] == "rbf":
-            scale = chosen.get("gamma", "scale")
-            gamma = 1.0 / (size.width * size.variance) if scale == "scale" else float(scale)
-            chosen = {**chosen, "kernel": "linear"}  # the kernel enters through the random features
-            width = int(chosen.get("n_features", 256))
-            mapped = random_features(F.col("features"), size.width, width, gamma, SEARCH_SEED)
-            weighted = weighted.withColumn("__x", array_to_vector(mapped))
-        total = (size.negatives * w0 + size.positives * w1) * (folds - 1) / folds
-        cv = CrossValidator(
-            estimator=Pipeline(stages=stages(kind, chosen, width, total, SEARCH_SEED)), estimatorParamMaps=[{}],
-            evaluator=MccEvaluator(), numFolds=folds, foldCol="fold",
-        )
-        return json.dumps(params, sort_keys=True), float(cv.fit(weighted).avgMetrics[0])
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        results = list(pool.map(tried, points))
-    board = rows.sparkSession.createDataFrame(results, "params string, mcc double")  # one row per tried set
+    The parameter sets are the models of one bank: every one is fitted on the rows of a fold's training side, scaled by them,
+    and judged on the fold. Regressions, machines and neighbours of all sets pass over the rows together. Rows whose vector
+    has another width than most are judged by nothing.
+    """
+    points = grid_points(model_type, grid or GRID[model_type], method, n_iter)
+    width = rows.agg(F.mode(F.size("features")).alias("d")).first()["d"] or 1
+    models = {f"p{n}": spark_params(model_type, p, width) for n, p in enumerate(points)}
+    bank = run_bank(
+        rows.withColumn("role", F.lit("train")), models, [SEARCH_SEED], folds, scaler="standard", parallelism=parallelism,
+        kinds=dict.fromkeys(models, KIND[model_type]),
+    )
+    spark = rows.sparkSession
+    per_fold = metrics.mcc_by_run(bank.predictions(spark).where("prob IS NOT NULL"), ["model", "seed", "fold"])
+    tried = spark.createDataFrame([(m, json.dumps(p, sort_keys=True)) for m, p in zip(models, points, strict=True)], "model string, params string")
+    board = per_fold.groupBy("model").agg(F.avg("mcc").alias("mcc")).join(F.broadcast(tried), "model").select("params", "mcc")
     return selection.leaderboard(board, "mcc", "params")
 
 
@@ -199,6 +168,15 @@ def fit_meta(
     return stats, fit("lr" if linear else "meta", ready, params, seed=42)
 
 
+def _stack_tables(pred: DataFrame, base: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """What a meta-learner is fitted on (``id, label, features``: out-of-fold means of the training rows) and judged by
+    (``id, y_true, features``: means over all runs of the test rows)."""
+    oof = stack.oof_mean(pred.filter("role = 'fold_val'"), names)
+    meta_rows = stored(base.select("id", "label").join(oof, "id").select("id", "label", F.array(*names).alias("features")), "meta")
+    test = stack.wide(pred.filter("role = 'test'"), ["id", "y_true"], F.col("model"), names, how=F.avg)
+    return meta_rows, test.select("id", "y_true", F.array(*names).alias("features"))
+
+
 def train(
     rows: DataFrame,
     models: Mapping[str, Mapping[str, Any]],
@@ -224,15 +202,10 @@ def train(
     used = chosen_predictions(pred, chosen)
     names = list(models)
 
-    oof = stack.oof_mean(used.filter("role = 'fold_val'"), names)
-    labels = bank.base.select("id", "label")
-    meta_rows = stored(labels.join(oof, "id").select("id", "label", F.array(*names).alias("features")), "meta")
+    meta_rows, test = _stack_tables(used, bank.base, names)
     stats, meta = fit_meta(meta_rows, shape if max_iter is None else {**shape, "epochs": max_iter}, linear)
 
     mean = stack.ensemble_mean(used.filter("role = 'test'"), ["id", "model", "y_true"])
-    test = stack.wide(used.filter("role = 'test'"), ["id", "y_true"], F.col("model"), names, how=F.avg).select(
-        "id", "y_true", F.array(*names).alias("features")
-    )
     stacked = meta.score(standardized(test, stats)).select(F.lit("stack").alias("model"), "y_true", "prob")
     everything = mean.select("model", "y_true", "prob").unionByName(stacked)
     return Ensemble(bank, dict(models), chosen, stats, meta), metrics.run_metrics(everything, ["model"])
@@ -329,34 +302,53 @@ def load(spark: SparkSession, path: str, verify: bool = True) -> Ensemble:
     return Ensemble(bank, state["models"], chosen, meta_stats, Fitted.load(spark, f"{path}/meta"))
 
 
-def train_ensemble(
-    rows: DataFrame, models: Mapping[str, Mapping[str, Any]], folds: int = 5, parallelism: int = 8
-) -> tuple[DataFrame, dict[str, Fitted], Fitted]:
-    """Stacking with a logistic meta-learner: cross-validated scores, the base models and the meta-learner on all rows.
+@dataclass
+class Scaled:
+    """A fitted model and the means and deviations its rows are standardised by."""
+
+    stats: Any
+    fitted: Any
+
+    def score(self, df: DataFrame, prob: str = "prob") -> DataFrame:
+        scaled = self.fitted.score(standardized(df.withColumn("__raw", F.col("features")), self.stats), prob)
+        return scaled.withColumn("features", F.col("__raw")).drop("__raw")
+
 
-    The scores are those of a meta-learner fitted on the other folds' out-of-fold probabilities.
+def train_ensemble(
+    rows: DataFrame, models: Mapping[str, Mapping[str, Any]], folds: int = 5, inner: int = 5, parallelism: int = 8
+) -> tuple[DataFrame, dict[str, Scaled], Scaled]:
+    """Stacking with a logistic meta-learner: nested scores per fold, and the base models and the meta-learner of all rows,
+    each with its scaler. ``rows``: id, label, features.
+
+    The rows of an outer fold are judged by a stack that never saw them: base models, scalers and out-of-fold probabilities come
+    from ``inner`` folds of the other rows alone, and so does the meta-learner. The returned meta-learner is fitted on the
+    out-of-fold probabilities of all rows, the returned base models on all rows.
     """
-    spark = rows.sparkSession
-    bank = run_bank(rows.withColumn("role", F.lit("train")), models, [0], folds, scaler="standard", parallelism=parallelism)
-    names = list(models)
-    pred = bank.predictions(spark)
-    wide = stack.wide(pred, ["id", "y_true", "fold"], F.col("model"), names)
-    meta_rows = stored(
-        wide.select("id", F.col("y_true").alias("label"), "fold", F.array(*names).alias("features")), "oof"
-    )
-    parts = []
-    for f in range(folds):
-        stats, meta = fit_meta(meta_rows.filter(F.col("fold") != f), linear=True)
-        scored = meta.score(standardized(meta_rows.filter(F.col("fold") == f), stats))
-        parts.append(scored.select("fold", F.col("label").alias("y_true"), "prob"))
+    spark, names = rows.sparkSession, list(models)
+    outer = splits.stratified_folds(rows.select("id", "label"), "id", "label", seeds=[0], folds=folds)
+    marked = stored(rows.join(outer.select("id", F.col("fold").alias("outer")), "id"), "ensemble")
+
+    def stack_of(table: DataFrame):
+        bank = run_bank(table, models, [1], inner, scaler="standard", parallelism=parallelism)
+        meta_rows, test = _stack_tables(bank.predictions(spark), bank.base, names)
+        return *fit_meta(meta_rows, linear=True), test
+
+    def judged(fold: int) -> DataFrame:
+        role = F.when(F.col("outer") == fold, "test").otherwise("train")
+        stats, meta, test = stack_of(marked.withColumn("role", role).drop("outer"))
+        scored = meta.score(standardized(test, stats)).select(F.lit(fold).alias("fold"), "y_true", "prob")
+        return stored(scored, "judged")
+
+    with ThreadPoolExecutor(max_workers=min(parallelism, folds)) as pool:
+        parts = list(pool.map(judged, range(folds)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    stats, meta = fit_meta(meta_rows, linear=True)
+    stats, meta, _ = stack_of(marked.withColumn("role", F.lit("train")).drop("outer"))
     all_stats = scaling.feature_stats(rows).first()
     ready = standardized(rows, all_stats)
-    base = {m: fit(m, ready, p) for m, p in models.items() if m != "knn"}
-    return metrics.run_metrics(out, ["fold"]), base, meta
+    base = {m: Scaled(all_stats, fit(m, ready, p)) for m, p in models.items()}
+    return metrics.run_metrics(out, ["fold"]), base, Scaled(stats, meta)
 
 
 def validate_external(fitted: Fitted, rows: DataFrame, name: str = "external") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackmill.operators import neighbors
-from stackmill.plans import bank, estimators, scoring, shared
+from stackmill.plans import bank, estimators, scoring, shared, stacking
 
 
 def table(spark, n=240, seed=3, extra=()):
@@ -133,3 +133,42 @@ def test_odd_rows_are_scored_null_and_change_no_fit(spark, tmp_path):
     assert [probs[i] for i in (1000, 1001, 1002)] == [None] * 3 and 0 < probs[1003] < 1
     both = plain.alias("p").join(mixed.alias("m"), ["id", "fold", "role"])
     assert both.count() == plain.count() and both.filter(F.abs(F.col("p.prob") - F.col("m.prob")) > 1e-6).count() == 0
+
+
+def test_search_takes_every_kind_and_scales(spark):
+    df = table(spark).drop("role")
+    far = df.withColumn("features", F.transform("features", lambda v: v * 1e6))
+    grid = {"k": [3, 9], "weights": ["uniform", "distance"], "metric": ["euclidean", "manhattan"]}
+    board = stacking.hyperparameter_search(df, "knn", grid, "grid", folds=3).collect()
+    again = stacking.hyperparameter_search(far, "knn", grid, "grid", folds=3).collect()
+    assert len(board) == 8 and [r.mcc for r in board] == pytest.approx([r.mcc for r in again])
+    assert [r.mcc for r in board] == sorted((r.mcc for r in board), reverse=True) and board[0].mcc > 0.5
+    machines = stacking.hyperparameter_search(df, "svm", {"C": [0.1, 1.0], "kernel": ["rbf", "linear"], "gamma": ["auto"], "balanced": [True]}, "grid", folds=3)
+    assert machines.count() == 4 and machines.first().mcc > 0.5
+
+
+def test_neighbours_are_a_model(spark, tmp_path):
+    df = table(spark).drop("role")
+    odd = spark.createDataFrame([(900, None, None), (901, None, [1.0])], "id long, label int, features array<double>")
+    fitted = stacking.train_model(df, "knn", {"k": 3, "weights": "distance", "metric": "manhattan"})
+    got = {r.id: r.prob for r in fitted.score(df.unionByName(odd)).collect()}
+    assert got == {**{r.id: float(r.label) for r in df.collect()}, 900: None, 901: None}  # every row is its own nearest
+    fitted.save(str(tmp_path / "model"))
+    loaded = estimators.Fitted.load(spark, str(tmp_path / "model"))
+    assert {r.id: r.prob for r in loaded.score(df).collect()} == {i: v for i, v in got.items() if i < 900}
+
+
+def test_ensemble_scores_are_nested(spark):
+    """Labels of noise: whoever has seen a row's label with its features would do better than chance."""
+    draw = np.random.default_rng(8)
+    noise = spark.createDataFrame([(i, int(draw.integers(0, 2)), [float(v) for v in draw.normal(size=3)]) for i in range(240)], "id long, label int, features array<double>")
+    models = {"knn": {"k": 1}, "lr": {"C": 1.0, "max_iter": 50, "balanced": True}}
+    folds, base, meta = stacking.train_ensemble(noise, models, folds=3, inner=2)
+    rows = folds.collect()
+    assert sorted(r.fold for r in rows) == [0, 1, 2] and sum(r.tp + r.tn + r.fp + r.fn for r in rows) == 240
+    assert abs(np.mean([r.auc for r in rows]) - 0.5) < 0.12
+    real, base, meta = stacking.train_ensemble(table(spark).drop("role"), models, folds=3, inner=2)
+    assert np.mean([r.auc for r in real.collect()]) > 0.85 and set(base) == set(models)
+    scored = base["knn"].score(table(spark).drop("role"))
+    assert scored.columns == ["id", "label", "features", "prob"] and scored.filter("prob <> label").count() == 0
+    assert meta.score(spark.createDataFrame([(1, [0.0, 0.1]), (2, [1.0, 0.9])], "id long, features array<double>")).orderBy("id").collect()[1].prob > 0.5
