@@ -72,10 +72,11 @@ def generate_descriptors(spark, folder):
     )
 
 
+_N_BITS = 1024
 _PART = "part_text AS (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS s FROM part)"
 _PART_BITS = f"""pw AS (SELECT p_partkey, list_filter(string_split_regex(s, '[ \\t\\r\\n]+'), lambda t: t <> '') AS w FROM part_text),
 pb AS (SELECT p_partkey, list_transform(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
-    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), lambda g: {sql_hash('g')} % 32) AS b FROM pw)"""
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), lambda g: {sql_hash('g')} % {_N_BITS}) AS b FROM pw)"""
 
 
 def _part_bits(spark, folder):
@@ -83,27 +84,26 @@ def _part_bits(spark, folder):
         "p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("s")
     )
     words = rows.withColumn("words", X.tokens(F.col("s")))
-    return words.select("p_partkey", X.hashed_bits(F.col("words"), 32).alias("bits"))
+    return words.select("p_partkey", X.hashed_bits(F.col("words"), _N_BITS).alias("bits"))
 
 
-@query("bits_to_columns", f"WITH {_PART}, {_PART_BITS} SELECT p_partkey, {', '.join(f'list_contains(b, {j})::INT AS Morgan_{j}' for j in range(32))} FROM pb")
+@query("bits_to_columns", f"WITH {_PART}, {_PART_BITS} SELECT p_partkey, {', '.join(f'list_contains(b, {j})::INT AS Morgan_{j}' for j in range(_N_BITS))} FROM pb")
 def bits_to_columns(spark, folder):
     """Fingerprint bits as 0/1 columns."""
-    return X.bits_to_columns(_part_bits(spark, folder), "bits", 32, "Morgan_", ["p_partkey"])
+    return X.bits_to_columns(_part_bits(spark, folder), "bits", _N_BITS, "Morgan_", ["p_partkey"])
 
 
-@query("combine_features", f"""WITH {_PART}, {_PART_BITS}, f AS (SELECT p_partkey, list_concat([p_size::DOUBLE, p_retailprice], list_transform(range(0, 32), lambda j: list_contains(b, j)::DOUBLE)) AS f
-  FROM part JOIN pb USING (p_partkey)) SELECT p_partkey, i::INT - 1 AS pos, f[i] AS x FROM f, range(1, 35) t(i)""")
+@query("combine_features", f"""WITH {_PART}, {_PART_BITS}, f AS (SELECT p_partkey, list_concat([p_size::DOUBLE, p_retailprice], list_transform(range(0, {_N_BITS}), lambda j: list_contains(b, j)::DOUBLE)) AS f
+  FROM part JOIN pb USING (p_partkey)) SELECT p_partkey, len(f)::INT AS n, i::INT - 1 AS pos, f[i] AS x FROM f, range(1, {_N_BITS + 3}) t(i) WHERE f[i] <> 0""")
 def combine_features(spark, folder):
-    """Two feature sets side by side in one vector."""
+    """Two feature sets side by side in one vector: its length, and its entries that are not 0."""
     numbers = table(spark, folder, "part").select(
         "p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("a")
     )
-    bits = _part_bits(spark, folder).select(
-        "p_partkey",
-        F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.array_contains("bits", j).cast("double")).alias("b"),
-    )
-    return numbers.join(bits, "p_partkey").select("p_partkey", F.posexplode_outer(F.concat("a", "b")).alias("pos", "x"))
+    both = numbers.join(_part_bits(spark, folder), "p_partkey")  # the bits are hashed before the join, once a row
+    wide = F.transform(F.sequence(F.lit(0), F.lit(_N_BITS - 1)), lambda j: F.array_contains("bits", j).cast("double"))
+    vectors = both.select("p_partkey", F.size("a").alias("first"), F.posexplode(F.concat("a", wide)).alias("pos", "x"))
+    return vectors.filter("x <> 0").select("p_partkey", (F.col("first") + _N_BITS).alias("n"), "pos", "x")
 
 
 # -- profiles ----------------------------------------------------------------------------------------------------------

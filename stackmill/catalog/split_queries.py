@@ -49,10 +49,14 @@ def strat_holdout(spark, folder):
     return P.stratified_holdout(_labelled(spark, folder), "id", "label", seed=7)
 
 
-@query("strat_kfold", f"WITH {_LABELLED}, {sql_folds('labelled', '0, 1, 2')} SELECT id, label, seed, fold FROM folds")
+_SEEDS = tuple(range(20))
+_SEEDS_SQL = ", ".join(map(str, _SEEDS))
+
+
+@query("strat_kfold", f"WITH {_LABELLED}, {sql_folds('labelled', _SEEDS_SQL)} SELECT id, label, seed, fold FROM folds")
 def strat_kfold(spark, folder):
     """Repeated stratified folds: every row is validated once per seed."""
-    return P.stratified_folds(_labelled(spark, folder), "id", "label", seeds=(0, 1, 2))
+    return P.stratified_folds(_labelled(spark, folder), "id", "label", seeds=_SEEDS)
 
 
 _WIDE_SPLIT = f"""{sql_folds('labelled', '0, 1')}, wide AS (
@@ -77,13 +81,13 @@ def split_long(spark, folder):
     return P.splits_from_wide(_wide_split(spark, folder), "id")
 
 
-@query("split_audit", f"""WITH {_LABELLED}, {sql_folds('labelled', '0, 1, 2')}, members AS (
+@query("split_audit", f"""WITH {_LABELLED}, {sql_folds('labelled', _SEEDS_SQL)}, members AS (
   SELECT id, seed, s.fold, CASE WHEN s.fold = folds.fold THEN 'validation' ELSE 'train' END AS role FROM folds, (SELECT unnest(range(5)) AS fold) s),
 r AS (SELECT seed, id, count(*) FILTER (role = 'validation') AS v, count(*) - count(DISTINCT fold) AS d FROM members GROUP BY 1, 2)
 SELECT seed, count(*) AS n_rows, count(*) FILTER (v <> 1) AS n_not_once, count(*) FILTER (d <> 0) AS n_leaked FROM r GROUP BY seed""")
 def split_audit(spark, folder):
     """Coverage and leakage of repeated folds."""
-    folds = P.stratified_folds(_labelled(spark, folder), "id", "label", seeds=(0, 1, 2))
+    folds = P.stratified_folds(_labelled(spark, folder), "id", "label", seeds=_SEEDS)
     return P.audit(P.fold_members(folds, 5))
 
 
