@@ -170,14 +170,14 @@ def base_bank(spark, folder):
 @query("train")
 def train(spark, folder):
     """End-to-end training: metrics of the base models and the stack on the hold-out."""
-    _, report = S.train(_rows(spark, folder), _small("knn", "lr", "rf"), seeds=[0], folds=3)
+    _, report = S.train(_rows(spark, folder), {**_linear("knn", "lr", "svm"), **_small("rf")})
     return _round(report)
 
 
 @query("predict")
 def predict(spark, folder):
     """End-to-end scoring of all documents with a saved and reloaded bundle."""
-    ensemble, _ = S.train(_rows(spark, folder), _small("lr", "rf"), seeds=[0], folds=3)
+    ensemble, _ = S.train(_rows(spark, folder), {**_linear("knn", "lr"), **_small("rf")}, seeds=[0, 1])
     path = S.save(ensemble, scratch_path(spark, "bundle"), DESCRIPTOR_NAMES)
     rows = described(spark, folder).withColumnRenamed("doc_id", "id")
     return _round(S.predict(S.load(spark, path), rows))
