@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackmill.functions.kernels import MAPS
+from stackmill.functions.kernels import MAPS, random_features  # noqa: F401 (used by callers)
 from stackmill.plans.boosting import Boosted, fit_boosted
 from stackmill.plans.nets import Net, fit_net
 from stackmill.plans.shared import LinearFit
