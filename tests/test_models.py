@@ -4,6 +4,7 @@ import shutil
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from stackmill.catalog.inputs import labelled
@@ -71,6 +72,15 @@ def test_fits_learn(spark, kind):
     assert metrics.auc(scored).first()["auc"] > 0.9
 
 
+@pytest.mark.parametrize("kind", ["lr", "rf", "svm", "mlp"])
+def test_fits_score_in_a_session_that_has_observed_a_query(spark, kind):
+    seen = Observation()
+    assert spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).count() == 5 and seen.get["n"] == 5
+    df, _, _ = separable(spark, 60)
+    scored = estimators.fit(kind, df, estimators.SMALL[kind]).score(df)
+    assert scored.where("prob BETWEEN 0 AND 1").count() == 60
+
+
 def test_polynomial_kernel_learns_a_product(spark):
     x = np.random.default_rng(2).normal(size=(300, 2))
     table = [(i, int(r[0] * r[1] > 0), [float(v) for v in r]) for i, r in enumerate(x)]
