@@ -10,7 +10,7 @@ from stackmill.catalog.registry import query
 from stackmill.functions import text as X
 from stackmill.operators import quality as Q
 from stackmill.operators import selection as S
-from stackmill.session import spread, stored
+from stackmill.session import dealt, spread, stored
 from stackmill.sources.readers import table
 
 _BITS = f"""
@@ -80,9 +80,7 @@ pb AS (SELECT p_partkey, list_transform(list_concat(w, list_transform(range(1, l
 
 
 def _part_bits(spark, folder):
-    rows = table(spark, folder, "part").select(
-        "p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("s")
-    )
+    rows = dealt(table(spark, folder, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("s")))
     words = rows.withColumn("words", X.tokens(F.col("s")))
     return words.select("p_partkey", X.hashed_bits(F.col("words"), _N_BITS).alias("bits"))
 
@@ -101,9 +99,7 @@ def combine_features(spark, folder):
         "p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("a")
     )
     both = numbers.join(_part_bits(spark, folder), "p_partkey")  # the bits are hashed before the join, once a row
-    wide = F.transform(F.sequence(F.lit(0), F.lit(_N_BITS - 1)), lambda j: F.array_contains("bits", j).cast("double"))
-    vectors = both.select("p_partkey", F.size("a").alias("first"), F.posexplode(F.concat("a", wide)).alias("pos", "x"))
-    return vectors.filter("x <> 0").select("p_partkey", (F.col("first") + _N_BITS).alias("n"), "pos", "x")
+    return X.side_by_side(both, "a", "bits", _N_BITS, ["p_partkey"])
 
 
 # -- profiles ----------------------------------------------------------------------------------------------------------

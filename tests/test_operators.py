@@ -5,11 +5,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
 from stackmill.functions import arrays, scores, text
+from stackmill.catalog import feature_queries
 from stackmill.operators import clean, metrics, neighbors, quality, scaling, selection, splits, stacking
 from stackmill.operators.ranks import ranked, running
 from stackmill.sources import readers, writers
@@ -326,3 +328,67 @@ def test_folders_get_few_files(spark, tmp_path):
     path = writers.write_partitioned(df, str(tmp_path / "p"))
     files = list((tmp_path / "p").rglob("*.parquet"))
     assert spark.read.parquet(path).count() == 4000 and len(files) <= 9
+
+
+def test_folds_shuffle_no_hash_and_audits_shuffle_rows_once(spark):
+    rows = spark.createDataFrame([(i, i % 2) for i in range(50)], "id long, label int")
+    folds = splits.stratified_folds(rows, "id", "label", (0, 1, 2), 5)
+    plan = folds._jdf.queryExecution().executedPlan().toString()
+    sent = [line.split("+-")[-1] for line in plan.splitlines()]
+    at = next(k for k, line in enumerate(sent) if "Exchange" in line and "__k" in line)
+    assert "__h" not in sent[at + 1]  # what the exchange reads
+    audited = splits.audit(splits.fold_members(folds.repartition("seed", "id"), 5))
+    text = audited._jdf.queryExecution().executedPlan().toString()
+    before = splits.audit(splits.fold_members(folds, 5))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(seed") < before.count("Exchange hashpartitioning(seed")
+
+
+def test_audit_counts_rows_without_a_fold(spark):
+    table = [(0, 1, None, "train"), (0, 1, None, "train"), (0, 1, 2, "validation"), (0, 2, 2, "validation"), (0, 2, 200, "train")]
+    members = spark.createDataFrame(table, "seed int, id long, fold int, role string")
+    assert splits.audit(members).collect() == [Row(seed=0, n_rows=2, n_not_once=0, n_leaked=1)]
+
+
+def test_side_by_side_lists_what_is_not_zero(spark):
+    rows = spark.createDataFrame([(1, [0.0, 2.5], [0, 3]), (2, [None, float("nan")], []), (3, [1.0, 0.0], [7])], "k int, a array<double>, bits array<int>")
+    got = text.side_by_side(rows, "a", "bits", 8, ["k"])
+    assert got.columns == ["k", "n", "pos", "x"]
+    assert sorted((r.k, r.n, r.pos, str(r.x)) for r in got.collect()) == [
+        (1, 10, 1, "2.5"), (1, 10, 2, "1.0"), (1, 10, 5, "1.0"), (2, 10, 1, "nan"), (3, 10, 0, "1.0"), (3, 10, 9, "1.0"),
+    ]
+
+
+def test_part_bits_are_made_on_all_cores(spark, data):
+    parts = feature_queries._part_bits(spark, data)
+    assert parts.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_routed_queries_leave_in_pieces():
+    n, cells = 300, 64
+    draw = np.random.default_rng(5)
+    pivots = draw.normal(size=(cells, 4))
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    x = draw.normal(size=(n, 4))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(n)), "features": [list(map(float, r)) for r in x]})
+    radii = (np.full(cells, 10.0), np.zeros(cells), np.full(cells, 100.0))  # no cell can be ruled out
+    out = list(neighbors._route(Sent({(): pivots}), Sent({(): radii}), [], "features", "euclidean", 3)(iter([batch])))
+    assert max(b.num_rows for b in out) <= neighbors.ROUTED_ROWS
+    assert sorted(zip(*[c for b in [pa.Table.from_batches(out)] for c in (b["id"].to_pylist(), b["cell"].to_pylist())], strict=True)) == [
+        (i, c) for i in range(n) for c in range(cells)
+    ]
+
+
+def test_a_folder_of_many_rows_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "ROWS_A_FILE", 100)
+    df = spark.range(0, 1000, 1, 1).select("id", F.lit("m").alias("model"), F.lit("r").alias("role"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = writers.write_partitioned(df, str(tmp_path / "p"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(path).count() == 1000
+    assert len(list((tmp_path / "p" / "model=m" / "role=r").glob("*.parquet"))) > 1
