@@ -81,3 +81,16 @@ def test_net_learns_in_one_block_and_in_many(spark, monkeypatch, tmp_path):
     assert got[4] == pytest.approx(nets.predicted(one.state, x[:1], one.shape)[0])
     none = nets.fit_net("meta", df.limit(0), params, 5)
     assert none.score(odd).count() == 4
+
+
+def test_an_epoch_sends_one_state_to_the_driver(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    table = [(float(v[0] > 0), 1.0, [float(c) for c in v]) for v in draw.normal(size=(400, 2))]
+    rows = spark.createDataFrame(table, "label double, weight double, features array<double>")
+    blocks = nets.packed_blocks(rows, 2, 400, 20, lambda x: np.ascontiguousarray(x).tobytes()).localCheckpoint()
+    shape = nets.Shape((4,), epochs=1)
+    several = []
+    frame = type(blocks)
+    monkeypatch.setattr(frame, "toLocalIterator", lambda self, *a, **b: several.append(self) or iter(self.collect()))
+    loss, after = nets._epoch_of(blocks, 2, nets.fresh(2, shape), shape, 0, 5)
+    assert not several and np.isfinite(loss) and after.steps > 0
