@@ -207,3 +207,28 @@ def test_bundle_stands_alone(spark, rows, tmp_path):
     (extra / "part-0").write_bytes(b"x")
     with pytest.raises(ValueError, match="part-0"):
         stacking.load(spark, copy)
+
+
+def test_many_rows_are_dealt_over_all_cores(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(estimators, "MANY_ROWS", 50)
+    monkeypatch.setattr(estimators, "_fit_stages", lambda parts, df: seen.append(df.rdd.getNumPartitions()))
+    df, _, _ = separable(spark, 60)
+    estimators.fit("lr", df.coalesce(1), estimators.SMALL["lr"])
+    assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_kernel_maps_pass_rows_in_pieces(spark, monkeypatch):
+    made = kernels.fourier_map(2, 8, 0.5, 3)
+
+    def narrow():
+        def apply(x):
+            assert len(x) <= 512, "a whole batch at once"
+            return made(x)
+
+        return apply
+
+    rows = spark.range(2000).select("id", F.array(F.col("id") / 1000.0, F.lit(1.0)).alias("x")).coalesce(1)
+    mapped = rows.select("id", kernels._mapped(F.col("x"), 2, narrow).alias("z")).collect()
+    plain = made(np.array([[i / 1000.0, 1.0] for i in range(2000)]))
+    assert [r["id"] for r in mapped] == list(range(2000)) and np.allclose([r["z"] for r in mapped], plain)
