@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -392,3 +393,16 @@ def test_a_folder_of_many_rows_is_written_by_many_tasks(spark, tmp_path, monkeyp
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert spark.read.parquet(path).count() == 1000
     assert len(list((tmp_path / "p" / "model=m" / "role=r").glob("*.parquet"))) > 1
+
+
+def test_manhattan_tile_needs_no_second_tile():
+    draw = np.random.default_rng(9)
+    x, t = draw.normal(size=(130, 7)), draw.normal(size=(9001, 7))
+    tracemalloc.start()
+    rough, _ = neighbors._tile(x, t, "manhattan")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    plain = np.zeros((130, 9001))
+    for j in range(7):
+        plain += np.abs(x[:, j, None] - t[None, :, j])
+    assert (rough == plain).all() and peak < 1.5 * rough.nbytes
