@@ -94,3 +94,22 @@ def test_an_epoch_sends_one_state_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(frame, "toLocalIterator", lambda self, *a, **b: several.append(self) or iter(self.collect()))
     loss, after = nets._epoch_of(blocks, 2, nets.fresh(2, shape), shape, 0, 5)
     assert not several and np.isfinite(loss) and after.steps > 0
+
+
+def test_an_epoch_takes_one_step_of_all_weights_a_batch(monkeypatch):
+    x, y = sample(130)
+    shape = nets.Shape((6, 4), norm=(True, False), dropout=(0.2, 0.0), batch=16)
+    calls, adam = [], nets.adam
+    monkeypatch.setattr(nets, "adam", lambda state, slope, rate: (calls.append(len(slope)), adam(state, slope, rate)))
+    state = nets.fresh(5, shape)
+    plain = state.copy()
+    nets.epoch(state, x, y, np.ones(130), shape, np.random.default_rng(3))
+    draw = np.random.default_rng(3)
+    order = draw.permutation(130)
+    for at in np.array_split(order, math.ceil(129 / 16)):
+        _, slope, seen = nets.gradient(plain, x[at], y[at], np.ones(len(at)), shape, draw)
+        adam(plain, slope, shape.rate)
+        for n, v in seen.items():
+            plain.running[n] += (1 - nets.MOMENTUM) * (v - plain.running[n])
+    assert set(calls) == {1} and state.steps == plain.steps == len(calls)
+    assert all((p[n] == q[n]).all() for p, q in zip(state.parts(), plain.parts(), strict=True) for n in p)
