@@ -406,3 +406,18 @@ def test_manhattan_tile_needs_no_second_tile():
     for j in range(7):
         plain += np.abs(x[:, j, None] - t[None, :, j])
     assert (rough == plain).all() and peak < 1.5 * rough.nbytes
+
+
+def test_the_bound_of_strips_loses_no_neighbour():
+    draw = np.random.default_rng(5)
+    t = draw.normal(size=(3000, 5))
+    t[500:900] = t[:400]
+    x, ids = np.r_[draw.normal(size=(30, 5)), t[:20]], draw.permutation(3000)
+    for metric, k in (("euclidean", 7), ("manhattan", 3), ("euclidean", 300)):
+        rough, _ = neighbors._tile(x, t, metric)
+        assert (neighbors._bound(rough, k) >= np.partition(rough, k - 1, axis=1)[:, k - 1]).all()
+        row, col, gap = neighbors.block_top_k(x, t, ids, k, metric)
+        for q in range(len(x)):
+            d = np.abs(x[q] - t).sum(1) if metric == "manhattan" else np.sqrt(((x[q] - t) ** 2).sum(1))
+            want = np.lexsort((ids, d))[:k]
+            assert col[row == q].tolist() == want.tolist() and np.allclose(gap[row == q], d[want])
