@@ -223,3 +223,15 @@ def test_kernel_maps_pass_rows_in_pieces(spark, monkeypatch):
     mapped = rows.select("id", kernels._mapped(F.col("x"), 2, narrow).alias("z")).collect()
     plain = made(np.array([[i / 1000.0, 1.0] for i in range(2000)]))
     assert [r["id"] for r in mapped] == list(range(2000)) and np.allclose([r["z"] for r in mapped], plain)
+
+
+def test_cosine_features_are_those_of_numpy():
+    x = np.random.default_rng(2).normal(size=(300, 6)) * 40
+    draw = np.random.default_rng(7)
+    w, b = draw.normal(scale=np.sqrt(0.6), size=(6, 50)), draw.uniform(0.0, 2.0 * np.pi, size=50)
+    x[3, 2] = np.nan
+    got = kernels.fourier_map(6, 50, 0.3, 7)(x)
+    assert np.allclose(got, np.sqrt(2.0 / 50) * np.cos(x @ w + b), rtol=0, atol=1e-12, equal_nan=True)
+    turns, square, out = np.linspace(-3, 3, 4001), np.empty(4001), np.empty(4001)
+    kernels._cosine(turns.copy(), square, out)
+    assert np.abs(out - np.cos(2 * np.pi * turns)).max() < 1e-14

@@ -172,3 +172,30 @@ def test_ensemble_scores_are_nested(spark):
     scored = base["knn"].score(table(spark).drop("role"))
     assert scored.columns == ["id", "label", "features", "prob"] and scored.filter("prob <> label").count() == 0
     assert meta.score(spark.createDataFrame([(1, [0.0, 0.1]), (2, [1.0, 0.9])], "id long, features array<double>")).orderBy("id").collect()[1].prob > 0.5
+
+
+def test_rows_are_packed_once_and_a_calibration_maps_nothing(spark, tmp_path, monkeypatch):
+    packed, passes = [], []
+    real_packed, real_pass = shared._packed, shared._pass
+    monkeypatch.setattr(shared, "_packed", lambda *a: packed.append(1) or real_packed(*a))
+    monkeypatch.setattr(shared, "_pass", lambda rows, width, jobs, points: passes.append((width, jobs)) or real_pass(rows, width, jobs, points))
+    machine = {"svm": {"C": 1.0, "kernel": "rbf", "gamma": "scale", "balanced": True, "n_features": 16, "max_iter": 5}}
+    bank.run_bank(table(spark), machine, seeds=[0], folds=3, path=str(tmp_path / "b"), scaler="standard")
+    curves = [jobs for width, jobs in passes if width == 3]
+    assert len(packed) == 1 and curves and all(not j.kernel and j.column is not None for jobs in curves for j in jobs)
+    assert all(j.kernel for width, jobs in passes if width == 4 for j in jobs)
+
+
+def test_sums_of_tasks_that_meet_in_levels_are_those_added_here(spark, monkeypatch):
+    rows = table(spark).withColumn("fold_of", F.array((F.col("id") % 3).cast("int")))
+    blocks = shared._packed(rows, 4)
+    jobs = [shared.Job("lr", 0, f, np.zeros(4), np.ones(4), (1.0, 2.0), 200.0, 1.0, 10) for f in range(3)]
+    points = [np.full(5, 0.01 * (f + 1)) for f in range(3)]
+    here = shared._pass(blocks, 4, jobs, points)
+    monkeypatch.setattr(shared, "DIRECT", 0)
+    levels = shared._pass(blocks, 4, jobs, points)
+    assert all(a == pytest.approx(b) for a, b in zip(here, levels, strict=True))
+    monkeypatch.setattr(shared, "BLOCK_BYTES", 320)  # ten rows a block
+    small = shared._packed(rows, 4)
+    assert small.count() >= 24
+    assert all(a == pytest.approx(b) for a, b in zip(here, shared._pass(small, 4, jobs, points), strict=True))
