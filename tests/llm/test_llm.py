@@ -80,6 +80,26 @@ def test_repeats_equal_brute_force(docs, rows, empty):
     assert suffix_groups.remove_repeats(empty).count() == 0
 
 
+def test_only_repeated_stretches_are_sorted(monkeypatch):
+    rng, sorted_bytes, plain = random.Random(5), [], suffix_groups.suffix_arrays
+    monkeypatch.setattr(suffix_groups, "suffix_arrays", lambda data, starts: sorted_bytes.append(len(data)) or plain(data, starts))
+    letters = lambda n: bytes(rng.choices(range(97, 123), k=n))
+    same, other = letters(260), b"ab" * 150
+    contexts = [(1, letters(2000) + same + letters(3000), 1, b"a"), (1, letters(500) + same, 1, b"b"), (1, letters(4000), 2, b"c"),
+                (2, letters(900), 1, b"d"), (2, letters(901), 1, b"e"), (3, other, 1, b"f"), (3, letters(300), 1, b"g"), (4, same, 1, b"h")]
+    frame = suffix_groups.pd.DataFrame(contexts, columns=["key", "context", "m", "name"])
+    got = sorted((bytes(n), int(a), int(b)) for found in suffix_groups._resolve(iter([frame])) for n, a, b in found.itertuples(index=False))
+    want = []
+    for key in {c[0] for c in contexts}:
+        group = [c for c in contexts if c[0] == key]
+        seen = Counter(s for _, c, m, _ in group for i in range(len(c) - 199) for s in [c[i : i + 200]] * m)
+        for _, c, _, name in group:
+            flags = np.array([seen[c[i : i + 200]] > 1 for i in range(len(c) - 199)])
+            want += [(name, int(a), int(b)) for a, b in zip(*suffix_groups._runs(flags), strict=True)]
+    assert got == sorted(want) and len(got) == 4
+    assert sum(sorted_bytes) < 5000  # of 12,421 bytes
+
+
 def test_separators_round_trip(spark, docs, rows, tmp_path):
     folder = f"file://{tmp_path}/flat"
     listed = separators.stored(separators.write_token_files(docs.coalesce(2), folder), "list").collect()
