@@ -421,3 +421,25 @@ def test_the_bound_of_strips_loses_no_neighbour():
             d = np.abs(x[q] - t).sum(1) if metric == "manhattan" else np.sqrt(((x[q] - t) ** 2).sum(1))
             want = np.lexsort((ids, d))[:k]
             assert col[row == q].tolist() == want.tolist() and np.allclose(gap[row == q], d[want])
+
+
+def test_fingerprint_bits_of_odd_texts(spark):
+    """Grams of any length hash as ``hash_int``: empty, null, longer than one md5 block, beyond ASCII, and texts of many steps."""
+    import hashlib
+
+    long = " ".join(f"w{i}" * (1 + i % 40) for i in range(70))
+    texts = ["", None, "a", "a  b\tb a b", "ä 日本 😀 ß", long, None, "x" * 55 + " " + "y" * 56, " \n"] + [f"{i} {i + 1} {i * i}" for i in range(50)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").coalesce(1)
+    for max_n in (1, 3):
+        got = {r[0]: r[1] for r in df.select("i", text.hashed_bits(text.tokens(F.col("s")), 97, max_n)).collect()}
+        for i, t in enumerate(texts):
+            w = (t or "").split()
+            grams = [" ".join(w[k : k + n]) for n in range(1, max_n + 1) for k in range(len(w) - n + 1)]
+            want = sorted({int(hashlib.md5(g.encode()).hexdigest()[:7], 16) % 97 for g in grams})
+            assert got[i] == (None if t is None else want)
+
+
+def test_fingerprints_are_not_interpreted_gram_by_gram(spark):
+    """Hashing every gram inside a lambda took two thirds of generate_descriptors."""
+    plan = spark.range(1).select(text.hashed_bits(F.split(F.col("id").cast("string"), " ")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "md5" not in plan
