@@ -246,3 +246,30 @@ def test_decontamination_tolerates_two_substitutions(spark):
     assert got == {1: (7, 20), 2: (7, 18), None: (7, 20)}
     assert [r.doc_id for r in decontamination.without_overlap(docs, items).orderBy("doc_id").collect()] == [3, 4, 5]
     assert decontamination.overlaps(docs, items.limit(0)).count() == 0
+
+
+def test_steps_of_op9_sort_buckets_as_16_bits(monkeypatch):
+    """A step sorted 64-bit numbers and added up rows of 16 classes; sums per class give the same tables bit by bit."""
+    import numpy as np
+
+    from stackmill.llm import maxent
+
+    draw = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in draw.zipf(1.5, 400) % 500) for _ in range(20)] + ["", "one"]
+    kept = [np.zeros(maxent.CLASSES, np.float32), np.zeros((maxent.BUCKETS, maxent.CLASSES), np.float32), np.zeros((maxent.BUCKETS, maxent.CLASSES), np.float32)]
+    bias, table, squares = (x.copy() for x in kept)
+    sort, sorted_as = np.argsort, []
+    monkeypatch.setattr(maxent.np, "argsort", lambda a, **more: (sorted_as.append(a.dtype), sort(a, **more))[1])
+    maxent.learn_chunk(bias, table, squares, texts)
+    monkeypatch.undo()
+    assert sorted_as == [np.uint16]
+    key, kind, owner = maxent.tokens(texts)
+    f = maxent.context(key, owner)
+    error = np.exp(maxent._log_softmax(*kept[:2], f))
+    error[np.arange(len(kind)), kind] -= 1
+    order = np.argsort(f.reshape(-1), kind="stable")
+    rows, first = np.unique(f.reshape(-1)[order], return_index=True)
+    gradient = np.add.reduceat(error[order // 3], first, axis=0)
+    kept[2][rows] += gradient * gradient
+    kept[1][rows] -= maxent.RATE * gradient / np.sqrt(kept[2][rows] + 1.0)
+    assert np.array_equal(table, kept[1]) and np.array_equal(squares, kept[2])
