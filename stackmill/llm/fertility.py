@@ -38,7 +38,8 @@ RANGES = (
 SCHEMA = """doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean,
 kept boolean, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double"""
 
-_LETTERS = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_STARTS = np.array([c for c, _ in RANGES], np.uint32)
 _PIECE = 200_000
 
 
@@ -47,15 +48,18 @@ def repeated_words(words: list[bytes]) -> int:
     n = len(words)
     if n < 4:
         return 0
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, n)
     if len(number) < 1 << 20:
         key = (ids[:-2] << 40) | (ids[1:-1] << 20) | ids[2:]
     else:  # too many words for one number: number the pairs first
         pair = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1].astype(np.int64)
         key = pair[:-1] * len(number) + ids[2:]
-    _, at, count = np.unique(key, return_inverse=True, return_counts=True)
-    twice = count[at] > 1
+    ordered = np.sort(key)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]  # in order, the windows that occur twice or more
+    if not len(again):
+        return 0
+    twice = again[np.minimum(np.searchsorted(again, key), len(again) - 1)] == key
     covered = np.zeros(n, bool)
     covered[:-2] |= twice
     covered[1:-1] |= twice
@@ -81,7 +85,7 @@ def script_of(text: str) -> str:
     if not letters:
         return "other"
     codes = np.frombuffer("".join(letters).encode("utf-32-le"), np.uint32)
-    at = np.searchsorted([c for c, _ in RANGES], codes, side="right") - 1
+    at = np.searchsorted(_STARTS, codes, side="right") - 1
     counts: dict[str, int] = {}
     for (_, name), n in zip(RANGES, np.bincount(at, minlength=len(RANGES)).tolist(), strict=True):
         counts[name] = counts.get(name, 0) + n
@@ -99,7 +103,7 @@ class Fertility:
     def measure(self, text: str) -> tuple[int, float, float, float]:
         """n_tokens, chars_per_token, byte_share, token_entropy; a text of 200,000 characters or more is encoded in pieces."""
         ids = self.pieces.encode([text[i : i + _PIECE] for i in range(0, len(text), _PIECE)], num_threads=1)
-        tokens = np.fromiter((x for part in ids for x in part), np.int64)
+        tokens = np.concatenate([np.array(part, np.int64) for part in ids]) if ids else np.zeros(0, np.int64)
         n = len(tokens)
         if not n:
             return 0, 0.0, 0.0, 0.0

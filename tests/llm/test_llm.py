@@ -273,3 +273,20 @@ def test_steps_of_op9_sort_buckets_as_16_bits(monkeypatch):
     kept[2][rows] += gradient * gradient
     kept[1][rows] -= maxent.RATE * gradient / np.sqrt(kept[2][rows] + 1.0)
     assert np.array_equal(table, kept[1]) and np.array_equal(squares, kept[2])
+
+
+def test_words_of_op1_are_counted_without_a_step_per_letter():
+    """Letters were matched one by one; runs of letters and sorted windows give the same figures."""
+    import random
+
+    from stackmill.llm import fertility
+
+    assert fertility._LETTERS.findall("ab1 日本_c") == ["ab", "日本", "c"]
+    assert [fertility.script_of(t) for t in ("", "12", "ab", "é α β", "日本 a", "𠀀 1", "ß_я")] == ["other", "other", "latin", "greek", "han", "han", "cyrillic"]
+    draw = random.Random(5)
+    for n in [*range(8), 40, 200]:
+        for kinds in (1, 2, 6, 1000):
+            words = [b"%d" % draw.randrange(kinds) for _ in range(n)]
+            windows = [tuple(words[i : i + 3]) for i in range(n - 2)]
+            covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+            assert fertility.repeated_words(words) == len(covered)
